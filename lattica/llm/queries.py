@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.nested_sample import nested_sample
 from lattica.llm.overlap import near_copies
+from lattica.llm.similar_vectors import fit_index, similar_pairs
 from lattica.llm.tokens import count_tokens, encode_documents
 from lattica.session import table
 
@@ -48,6 +49,21 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+VECTOR_NUMBERS = 64
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(table(spark, d, "textemb").select("code", "emb"), "code", "emb", VECTOR_NUMBERS, 0.9)
+    return pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"))
+
+
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar vectors of every vector whose code is divisible by 100, against all vectors."""
+    t = table(spark, d, "textemb").select("code", "emb")
+    found = fit_index(t, "code", "emb", VECTOR_NUMBERS).search(t, t.filter(F.col("code") % 100 == 0), k=10, probes=48)
+    return found.select(F.col("query").alias("code"), "rank", F.col("id").alias("neighbour"), F.round("cosine", 5).alias("cosine"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), "doc_id", "text")
 
@@ -60,11 +76,19 @@ QUERIES = {
     "p2_sample": p2_sample,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_knn": p4_knn,
     "p7_ids": p7_ids,
     "p7_token_counts": p7_token_counts,
 }
 
 SQL = {
+    "p4_found": """
+        WITH v AS (
+            SELECT code, list_transform(emb, lambda x: x::DOUBLE) AS e FROM textemb
+            WHERE len(emb) = 64 AND list_bool_and(list_transform(emb, lambda x: isfinite(x))) AND list_bool_or(list_transform(emb, lambda x: x <> 0)))
+        SELECT a.code AS code_a, b.code AS code_b FROM v a JOIN v b ON a.code < b.code
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
     "p2_sample": """
         WITH ordered AS (
             SELECT b::INT AS bucket, row_number() OVER (ORDER BY md5('order:' || b::VARCHAR)) AS place FROM range(4096) t(b)),
