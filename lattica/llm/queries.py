@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.llm.language import document_languages, fit_languages, label_language, segments
 from lattica.llm.nested_sample import nested_sample
 from lattica.llm.overlap import near_copies
 from lattica.llm.similar_vectors import fit_index, similar_pairs
@@ -72,6 +73,26 @@ def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang"))
+    return found.drop("sure", "letters").withColumn("confidence", F.round("confidence", 4))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return document_languages(segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang")), "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = document_languages(segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang")), "doc_id")
+    labels = docs.select("doc_id", label_language(F.col("lang")).alias("label"))
+    corrected = F.col("main") & ~F.col("mixed") & ~F.col("label").eqNullSafe(F.col("lang")) & ~F.col("any_mixed")
+    rows = found.join(labels, "doc_id").withColumn("any_mixed", F.lit(False))
+    return rows.filter(F.col("mixed") | corrected).select("doc_id", "lang")
+
+
 QUERIES = {
     "p2_sample": p2_sample,
     "p3_found": p3_found,
@@ -80,6 +101,9 @@ QUERIES = {
     "p4_knn": p4_knn,
     "p7_ids": p7_ids,
     "p7_token_counts": p7_token_counts,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
+    "p9_documents": p9_documents,
 }
 
 SQL = {
