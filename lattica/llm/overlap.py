@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from lattica.session import broadcast_if_small, materialize
 
 WINDOW = 3
-MEAN_CHUNK = 8
-SHARED = 0.35
+#: A cut is where the rolling hash has its peak among so many places on either side, so chunks have more characters.
+RADIUS = 7
+SHARED = 0.28
 SIMILAR = 0.8
-SLOTS = 1 << 16
+SLOTS = 1 << 20
+SLOT_BLOCK = 1 << 13
+ROWS_AT_ONCE = 1_000
 KEY_BITS = 44
 LABEL_WIDTH = 0.1
 DAY = 86_400 * 1_000_000
@@ -46,19 +49,24 @@ _DAMAGED = re.compile("[ÃÂâ]")
 _U = np.uint64
 
 
+_LOWER = bytes(range(256)).lower()
+_OTHER = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 def normal(text: str) -> str:
     """Letters and digits only, lower case, without markup, accents and doubly encoded characters."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        if _DAMAGED.search(text):
-            try:
-                text = text.encode("cp1252").decode("utf-8")
-            except UnicodeError:
-                pass
-        text = unicodedata.normalize("NFKD", text)
+    if text.isascii():
+        return text.encode().translate(_LOWER, _OTHER).decode()
+    if _DAMAGED.search(text):
+        try:
+            text = text.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            pass
+    text = unicodedata.normalize("NFKD", text)
     return "".join(filter(str.isalnum, text.lower()))
 
 
@@ -76,7 +84,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(2)
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, base, _U)]).astype(_U), dtype=_U)
+    factors = np.full(n + 1, base, _U)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=_U)
 
 
 def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +105,12 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for k in range(WINDOW):
         part = g[: n - k] * _U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
         h[k:] += part if k == 0 else np.where(at[k:] >= k, part, _U(0))
-    cut = mix(h) % _U(MEAN_CHUNK) == 0
-    starts = np.concatenate([[True], cut[:-1]]) | (at == 0)
+    h = mix(h)
+    peak = np.ones(n, bool)
+    for k in range(1, RADIUS + 1):
+        peak[k:] &= (h[k:] > h[:-k]) | (at[k:] < k)
+        peak[:-k] &= (h[:-k] >= h[k:]) | (at[k:] < k)
+    starts = np.concatenate([[True], peak[:-1]]) | (at == 0)
     begin = np.flatnonzero(starts)
     length = np.diff(np.append(begin, n))
     inside = np.arange(n) - np.repeat(begin, length)
@@ -128,12 +142,11 @@ class _Batch:
         at = batch.column(4)
         self.timed = ~np.asarray(at.is_null())
         self.at = np.where(self.timed, at.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
-        self.raw = batch.column(5)
-        self.texts = [normal(t) for t in self.raw.to_pylist()]
+        self.texts = [normal(t) for t in batch.column(5).to_pylist()]
         self.row, self.digest, self.length, whole = chunks(self.texts)
         task = np.fromiter((_name(t) for t in batch.column(1).to_pylist()), _U, batch.num_rows)
         side = batch.column(2).to_numpy(zero_copy_only=False).astype(_U)
-        self.task = mix(task + side * _U(0))
+        self.task = mix(task)
         key = mix(whole + self.task * _U(3) + side)
         key = mix(key ^ self.label.view(_U)) + np.where(self.timed, self.at, NO_TIME).astype(np.int64).view(_U)
         self.klass = mix(key).view(np.int64)
@@ -147,13 +160,42 @@ def _name(task: str) -> int:
     return crc32(raw) << 31 ^ crc32(raw[::-1])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the chunks of a partition, in blocks."""
+    total = np.zeros(SLOTS, np.int32)
+    for batch in _blocks(batches):
         _, digest, _, _ = chunks([normal(t) for t in batch.column(0).to_pylist()])
-        total += np.bincount((digest % _U(SLOTS)).astype(np.int64), minlength=SLOTS)
-    slot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["slot", "n"])
+        np.add.at(total, (digest % _U(SLOTS)).astype(np.int64), 1)
+    yield from _counters(enumerate(total.reshape(-1, SLOT_BLOCK)))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(raw, np.int32)
+            total[block] = np.minimum(total[block].astype(np.int64) + part, 2**31 - 1).astype(np.int32) if block in total else part
+    yield from _counters(sorted(total.items()))
+
+
+def _counters(blocks) -> Iterator[pa.RecordBatch]:
+    for block, part in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()])], names=["block", "counters"])
+
+
+def chunk_counts(texts: DataFrame) -> np.ndarray:
+    """How many chunks of all records fall into each of SLOTS slots; of a fixed size, whatever the data."""
+    blocks = texts.mapInArrow(_sketch, "block int, counters binary").repartition("block").mapInArrow(_summed, "block int, counters binary")
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int32)
+    for r in blocks.collect():
+        out[r["block"]] = np.frombuffer(r["counters"], np.int32)
+    return out.reshape(-1)
 
 
 def _keys(batch: _Batch, rarity: np.ndarray, side: int, days: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +228,9 @@ def _keys(batch: _Batch, rarity: np.ndarray, side: int, days: int) -> tuple[np.n
             fresh &= (u != v)[row]
         keys.append((mix(digest[fresh] ^ v[row[fresh]]) & _U((1 << KEY_BITS) - 1)).view(np.int64))
         classes.append(batch.klass[row[fresh]])
-    pairs = np.unique(np.stack([np.concatenate(keys), np.concatenate(classes)]), axis=1)
-    return pairs[0], pairs[1]
+    key, klass = np.concatenate(keys), np.concatenate(classes)
+    _, once = np.unique(mix(key.view(_U) + klass.view(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
+    return key[once], klass[once]
 
 
 def overlap_fractions(a: list[str], b: list[str]) -> np.ndarray:
@@ -210,8 +253,8 @@ def trigram_similarity(a: str, b: str) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = ([normal(t) for t in batch.column(i).to_pylist()] for i in (2, 3))
+    for batch in _blocks(batches):
+        a, b = (batch.column(i).to_pylist() for i in (2, 3))
         share = overlap_fractions(a, b) if len(a) else np.zeros(0)
         sure = np.array([s >= SHARED and trigram_similarity(x, y) >= SIMILAR for s, x, y in zip(share, a, b)], bool)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["class_a", "class_b", "overlap"]).filter(pa.array(sure))
@@ -230,15 +273,11 @@ def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     usable = rows.filter(F.col("text").isNotNull() & F.col("task").isNotNull() & F.col("label").isNotNull() & ~F.isnan("label") & F.col("side").isNotNull())
     usable = usable.select("id", "task", "side", "label", "at", "text")
-    counts = usable.select("text").mapInArrow(_sketch, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    rarity = np.zeros(SLOTS, np.int64)
-    for r in counts:
-        rarity[r["slot"]] = r["n"]
-    shared = spark.sparkContext.broadcast(rarity)  # SLOTS counters, whatever the data
+    shared = spark.sparkContext.broadcast(chunk_counts(usable.select("text")))
 
     def keyed(side: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _blocks(batches):
                 key, klass = _keys(_Batch(batch), shared.value, side, days)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(klass)], names=["key", "class"])
 
@@ -248,9 +287,9 @@ def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(left.join(right, "key").select("class_a", "class_b").distinct(), "overlap-candidates")
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             x = _Batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(x.klass), *(batch.column(i) for i in (0, 2, 3, 4, 5))], names=["class", "id", "side", "label", "at", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.klass), *(batch.column(i) for i in (0, 2, 3, 4)), pa.array(x.texts)], names=["class", "id", "side", "label", "at", "text"])
 
     wanted = broadcast_if_small(pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct(), 2_000_000)
     all_rows = usable.mapInArrow(classed, "class bigint, id bigint, side int, label double, at timestamp_ntz, text string")
