@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.language import document_languages, fit_languages, label_language, segments
+from lattica.llm.mixture import mix
 from lattica.llm.nested_sample import nested_sample
 from lattica.llm.overlap import near_copies
 from lattica.llm.similar_vectors import fit_index, similar_pairs
@@ -73,6 +74,19 @@ def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
+def mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = count_tokens(table(spark, d, "documents"), "doc_id", "text", ["source"])
+    return mix(sizes, table(spark, d, "mix_weights"), "doc_id")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d)[1]
+
+
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     found = segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang"))
@@ -101,6 +115,8 @@ QUERIES = {
     "p4_knn": p4_knn,
     "p7_ids": p7_ids,
     "p7_token_counts": p7_token_counts,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_segments": p9_segments,
     "p9_documents": p9_documents,

@@ -14,7 +14,7 @@ on with one of the same class, so the fragments split just as the text does.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -102,15 +102,15 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, path: str | None
     NULL and empty texts give an empty list. Every row gives one row, repeated ids included; a NULL id stays NULL.
     No shuffle: a text is encoded where it lies. Only the two columns are read, so extra ones do no harm.
     """
-    return _over_texts(df, id_col, text_col, path, counts=False)
+    return _over_texts(df, id_col, text_col, path, False)
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
-    """id and `n_tokens` (0 for NULL and empty texts) of each row."""
-    return _over_texts(df, id_col, text_col, path, counts=True)
+def count_tokens(df: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """id, the columns `carry` and `n_tokens` (0 for NULL and empty texts) of each row."""
+    return _over_texts(df, id_col, text_col, path, True, tuple(carry))
 
 
-def _over_texts(df: DataFrame, id_col: str, text_col: str, path: str | None, counts: bool) -> DataFrame:
+def _over_texts(df: DataFrame, id_col: str, text_col: str, path: str | None, counts: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     path = path or f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,8 @@ def _over_texts(df: DataFrame, id_col: str, text_col: str, path: str | None, cou
                     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                     flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
                     result = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), result], names=[id_col, "n_tokens" if counts else "ids"])
+                kept = [batch.column(0), *(batch.column(2 + i) for i in range(len(carry)))]
+                yield pa.RecordBatch.from_arrays([*kept, result], names=[id_col, *carry, "n_tokens" if counts else "ids"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ("n_tokens bigint" if counts else "ids array<int>"))
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (id_col, *carry))
+    return df.select(id_col, text_col, *carry).mapInArrow(run, kept + ("n_tokens bigint" if counts else "ids array<int>"))
