@@ -15,6 +15,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a lambda it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -33,7 +38,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(v)
+    return bind(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,9 +48,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit population variance, without learned scale."""
-    m = mean(v)
-    variance = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)
-    return F.transform(v, lambda x: (x - m) / F.sqrt(variance + eps))
+    spread = lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)
+    return bind(mean(v), lambda m: bind(F.sqrt(spread(m) + eps), lambda s: F.transform(v, lambda x: (x - m) / s)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -87,13 +91,11 @@ def numeric_decoding(v: Column, weights: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return bind(F.array_max(v), lambda top: top + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
 
 
 def softmax(v: Column) -> Column:
-    top = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x - top))
+    return bind(log_sum_exp(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
 
 
 def argmax(v: Column) -> Column:
@@ -167,9 +169,10 @@ def masked_softmax_weights(scores: Column, mask: Column) -> Column:
     """Softmax over the places where mask is true; 0 elsewhere; all 0 if none is."""
     low = F.lit(float("-inf"))
     kept = F.zip_with(scores, mask, lambda s, m: F.when(m, s).otherwise(low))
-    top = F.array_max(kept)
-    raised = F.transform(kept, lambda s: F.when(s > low, F.exp(s - top)).otherwise(0.0))
-    return F.when(top > low, F.transform(raised, lambda e: e / total(raised))).otherwise(F.transform(scores, lambda s: F.lit(0.0)))
+    zeros = F.transform(scores, lambda s: F.lit(0.0))
+    raised = lambda top: F.transform(kept, lambda s: F.when(s > low, F.exp(s - top)).otherwise(0.0))
+    shares = lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return bind(F.array_max(kept), lambda top: F.when(top > low, bind(raised(top), shares)).otherwise(zeros))
 
 
 def weighted_sum(vectors: Column, weights: Column, dim: int) -> Column:

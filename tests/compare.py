@@ -29,12 +29,18 @@ def rows(columns: list[str], data) -> list[str]:
     return sorted(repr([canon(r[i]) for i in order]) for r in data)
 
 
+#: How DuckDB names the types that queries return.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark, sf_dir: str, query, sql: str, con=None) -> int:
     """Asserts that both give the same rows; returns their number."""
     got = query(spark, sf_dir)
     data = [tuple(r) for r in got.collect()]
     want = (con or duck(sf_dir)).sql(sql)
     assert sorted(got.columns) == sorted(want.columns), (got.columns, want.columns)
+    kinds = dict(zip(want.columns, map(str, want.types)))
+    assert {c: TYPES.get(t, t) for c, t in got.dtypes} == kinds, [(c, t, kinds[c]) for c, t in got.dtypes if TYPES.get(t, t) != kinds[c]]
     a, b = rows(got.columns, data), rows(want.columns, want.fetchall())
     assert len(a) == len(b), (len(a), len(b), [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3])
     assert a == b, next((x, y) for x, y in zip(a, b) if x != y)
