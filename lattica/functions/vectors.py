@@ -25,7 +25,7 @@ def total(v: Column) -> Column:
 
 
 def mean(v: Column) -> Column:
-    return total(v) / F.nullif(F.size(v), F.lit(0))
+    return F.when(F.size(v) > 0, total(v) / F.size(v))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,13 +43,15 @@ def l2_normalize(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """NULL if either vector is zero."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return bind(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n))
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
     """Zero mean and unit population variance, without learned scale."""
-    spread = lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v)
-    return bind(mean(v), lambda m: bind(F.sqrt(spread(m) + eps), lambda s: F.transform(v, lambda x: (x - m) / s)))
+    #: Not one bind inside another: a Python function can't take an argument whose lambdas are nested that deep.
+    variance = bind(mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+    both = F.struct(mean(v).alias("m"), F.sqrt(variance + eps).alias("s"))
+    return F.when(v.isNotNull(), bind(both, lambda p: F.transform(v, lambda x: (x - p["m"]) / p["s"])))
 
 
 def add(a: Column, b: Column) -> Column:

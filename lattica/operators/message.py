@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions import vectors as V
 from lattica.operators.skew import SALT, HeavyKeys
@@ -82,6 +83,15 @@ def linear(weights: np.ndarray, bias: np.ndarray | None = None):
     return apply
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def normalized(v: pd.Series) -> pd.Series:
+    """vectors.layer_norm in numpy, for what goes on into `linear`: both are then done in one pass of a batch."""
+    if not len(v):
+        return pd.Series([], dtype=object)
+    x = np.stack(v.to_numpy())
+    return pd.Series(list((x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)))
+
+
 def layer_update(nodes: DataFrame, edges: DataFrame, relation_vectors: DataFrame, layer: Layer, dim: int, sequential: bool = False, scaled_messages: bool = False) -> DataFrame:
     """id and x after one layer.
 
@@ -89,7 +99,7 @@ def layer_update(nodes: DataFrame, edges: DataFrame, relation_vectors: DataFrame
     along and against the edges. Sequential form: first x + SiLU(g(n) * M(n) + g'(n) * M'(n)), then
     x + alpha * FF(norm of that). scaled_messages applies alpha to the first step as well.
     """
-    normed = nodes.select("id", "x", V.layer_norm(F.col("x")).alias("n"))
+    normed = nodes.select("id", "x", normalized("x").alias("n"))
     pre = linear(layer.before)(F.col("n"))
     if not sequential:
         pre = F.transform(pre, V.silu)
@@ -105,7 +115,7 @@ def layer_update(nodes: DataFrame, edges: DataFrame, relation_vectors: DataFrame
         return total.select("id", V.add(V.add(F.col("x"), feed), both).alias("x"))
     passed = F.transform(both, V.silu)
     moved = total.select("id", V.add(F.col("x"), V.scale(passed, F.lit(layer.alpha)) if scaled_messages else passed).alias("x"))
-    feed = linear(layer.forward)(V.layer_norm(F.col("x")))
+    feed = linear(layer.forward)(normalized("x"))
     return moved.select("id", V.add(F.col("x"), V.scale(feed, F.lit(layer.alpha))).alias("x"))
 
 
