@@ -34,7 +34,7 @@ from lattica.session import broadcast_if_small, materialize
 WINDOW = 3
 #: A cut is where the rolling hash has its peak among so many places on either side, so chunks have more characters.
 RADIUS = 7
-SHARED = 0.28
+SHARED = 0.22
 SIMILAR = 0.8
 SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 13
