@@ -10,6 +10,7 @@ from lattica.functions.vectors import onehot_mask
 from lattica.operators import edges as E
 from lattica.operators import expand as X
 from lattica.operators import sampling as S
+from lattica.operators.asof import seconds
 from lattica.operators.ordering import hash_order, running_sums
 from lattica.session import broadcast_if_small, table
 
@@ -297,12 +298,10 @@ _HISTORY = f"""
 
 def event_rows(spark: SparkSession, d: str) -> DataFrame:
     """events numbered from 0 in the order of their time."""
-    e = table(spark, d, "events").select("event_id", "value", "ts")
-    keyed = e.withColumn("__day", F.to_date("ts")).withColumn("one", F.lit(1).cast("bigint"))
-    days = keyed.groupBy("__day").agg(F.sum("one").alias("n")).withColumn("order", F.unix_date("__day"))
-    first = running_sums(days, [], "order", ["n"]).select("__day", F.col("before_n").alias("first"))
-    w = Window.partitionBy("__day").orderBy("ts", "event_id")
-    return keyed.join(first, "__day").select("event_id", "value", (F.row_number().over(w) - 1 + F.col("first")).cast("bigint").alias("r"))
+    e = table(spark, d, "events").select("event_id", "value", "ts", seconds(F.col("ts")).alias("at_s"))
+    first = running_sums(e.groupBy("at_s").agg(F.count(F.lit(1)).alias("n")), [], "at_s", ["n"]).select("at_s", F.col("before_n").alias("first"))
+    w = Window.partitionBy("at_s").orderBy("ts", "event_id")
+    return e.join(first, "at_s").select("event_id", "value", (F.row_number().over(w) - 1 + F.col("first")).cast("bigint").alias("r"))
 
 
 @query(f"WITH {_HISTORY} SELECT d.seed, d.draw, d.example, r.event_id FROM drawn d JOIN rows r ON r.r = d.example")

@@ -599,3 +599,85 @@ def onehot_logits(spark: SparkSession, d: str) -> DataFrame:
     """Logits from a class number; numbers out of range give the lowest logits only."""
     rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.onehot_logits(F.col("label") - 2, 6)).alias("class_id", "logit"))
     return rows
+
+
+# What else a loader needs
+
+
+@query(f"WITH {_RELATIONS} SELECT entity, (count(*) FILTER (WHERE direction = 'head of'))::BIGINT AS n_out, (count(*) FILTER (WHERE direction = 'tail of'))::BIGINT AS n_in, string_agg(direction || ' ' || relation, '; ' ORDER BY direction, relation) AS adjacency FROM reg GROUP BY entity")
+def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    """The relations of each entity, folded into its metadata."""
+    names = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "direction", "relation"))), "; ")  # relations of one entity
+    return relations(spark, d).groupBy("entity").agg(
+        F.count_if(F.col("direction") == "head of").alias("n_out"), F.count_if(F.col("direction") == "tail of").alias("n_in"), names.alias("adjacency")
+    )
+
+
+@query(f"WITH {_MENTIONS} SELECT entity, count(DISTINCT name)::BIGINT AS n_columns FROM cols GROUP BY entity HAVING count(DISTINCT name) > 1")
+def completion_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with more than one column, of which one can be predicted from the others."""
+    return column_mentions(spark, d).groupBy("entity").agg(F.count_distinct("name").alias("n_columns")).filter("n_columns > 1")
+
+
+@query(
+    f"""WITH {_MENTIONS} SELECT t.task, count(DISTINCT c.name)::BIGINT AS n_columns, (count(DISTINCT c.name) FILTER (WHERE NOT list_contains(t.masked, c.name)))::BIGINT AS n_visible
+    FROM metatask t JOIN cols c ON c.entity = t.seed_entity GROUP BY t.task"""
+)
+def visible_columns(spark: SparkSession, d: str) -> DataFrame:
+    columns = column_mentions(spark, d).groupBy("entity").agg(F.collect_set("name").alias("names"))
+    tasks = table(spark, d, "metatask").join(columns, F.col("seed_entity") == F.col("entity"))
+    return tasks.select("task", F.size("names").cast("bigint").alias("n_columns"), F.size(F.array_except("names", "masked")).cast("bigint").alias("n_visible"))
+
+
+@query(
+    """SELECT t.task, c.row_id AS class_id, c.name FROM metatask t JOIN (SELECT DISTINCT entity, row_id, name FROM class_rows) c ON c.entity = t.target_entity
+    WHERE t.task_type = 'retrieval' AND c.row_id >= 0 AND c.row_id < t.num_class"""
+)
+def class_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The class rows 0 .. K-1 of each task's target entity."""
+    tasks = table(spark, d, "metatask").filter(F.col("task_type") == "retrieval").select("task", F.col("target_entity").alias("entity"), "num_class")
+    classes = table(spark, d, "class_rows").select("entity", "row_id", "name").distinct()
+    return classes.join(broadcast_if_small(tasks), "entity").filter((F.col("row_id") >= 0) & (F.col("row_id") < F.col("num_class"))).select("task", F.col("row_id").alias("class_id"), "name")
+
+
+_TEXTS = """
+    t AS (SELECT code, list_transform(emb, lambda x: x::DOUBLE) AS e FROM textemb),
+    s AS (SELECT code, e IS NULL OR len(e) = 0 AS is_missing, len(e) <> 64 AS is_short, e IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x = 0)) AS is_zero,
+        e IS NOT NULL AND len(e) > 0 AND list_bool_or(list_transform(e, lambda x: NOT isfinite(x))) AS is_not_finite FROM t)
+"""
+
+
+@query(
+    f"""WITH {_TEXTS} SELECT count(*)::BIGINT AS n, count_if(is_missing)::BIGINT AS n_missing, count_if(coalesce(is_short, FALSE))::BIGINT AS n_other_length,
+        count_if(is_zero)::BIGINT AS n_zero, count_if(is_not_finite)::BIGINT AS n_not_finite FROM s"""
+)
+def vector_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that are missing, of another length, zero or not finite."""
+    e = F.col("emb")
+    some = e.isNotNull() & (F.size(e) > 0)
+    odd = F.exists(e, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return table(spark, d, "textemb").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(e.isNull() | (F.size(e) == 0)).alias("n_missing"),
+        F.count_if(e.isNotNull() & (F.size(e) != DIM)).alias("n_other_length"),
+        F.count_if(some & F.forall(e, lambda x: x == 0)).alias("n_zero"),
+        F.count_if(some & odd).alias("n_not_finite"),
+    )
+
+
+@query("WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count_if(coalesce(n, 0) < 8)::BIGINT AS n_short, sum(greatest(8 - coalesce(n, 0), 0))::BIGINT AS n_empty_slots FROM customer LEFT JOIN n ON o_custkey = c_custkey")
+def slot_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds with fewer neighbours than slots, and the slots left empty."""
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    empty = F.greatest(F.lit(8) - F.coalesce("n", F.lit(0)), F.lit(0))
+    return table(spark, d, "customer").join(n, "c_custkey", "left").agg(F.count_if(empty > 0).alias("n_short"), F.sum(empty).cast("bigint").alias("n_empty_slots"))
+
+
+@query()
+def seed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors that a head is fitted on: one per seed after two layers, with its label."""
+    nodes, edges, rel = vector_graph(spark, d)
+    layers = [M.Layer.seeded(DIM, seed, zero_gates=False) for seed in (1, 2)]
+    *_, (_, last) = M.message_passing(nodes, edges, rel, layers, DIM)
+    seeds = table(spark, d, "embeddings").filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("id"), "label")
+    return last.join(seeds, "id").select("id", "label", round6(V.norm(F.col("x"))).alias("norm"))
