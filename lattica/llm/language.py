@@ -23,14 +23,14 @@ SPELLINGS = {
     "en": ("en", "eng", "english"),
     "de": ("de", "deu", "ger", "german", "deutsch"),
     "fr": ("fr", "fra", "fre", "french", "français", "francais"),
-    "es": ("es", "spa", "spanish", "español", "espanol", "castellano"),
+    "es": ("es", "spa", "spanish", "español", "espanol", "castellano", "castilian"),
     "pt": ("pt", "por", "portuguese", "português", "portugues"),
     "it": ("it", "ita", "italian", "italiano"),
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
     "sv": ("sv", "swe", "swedish", "svenska"),
     "pl": ("pl", "pol", "polish", "polski"),
     "ru": ("ru", "rus", "russian", "русский"),
-    "zh": ("zh", "zho", "chi", "cmn", "chinese", "中文", "汉语", "漢語", "普通话"),
+    "zh": ("zh", "zho", "chi", "cmn", "chinese", "mandarin", "中文", "汉语", "漢語", "普通话"),
 }
 LANGUAGES = tuple(SPELLINGS)
 
@@ -50,7 +50,7 @@ MIXED_SENTENCES, SURE = 2, 0.9
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _RUN = re.compile("[\u0080-˿ -™Œ-ƒ]{2,}")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|[\r\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|(?<=[㐀-鿿][.!?])|[\r\n]+")
 _LOG_LINE = re.compile(r"^\s*(===.*===|[\w/.@-]+(/[\w.@-]+)+\s*:.*|[\w.@/-]+\s*[:=]\s*-?[\d.eE+-]+\s*)$")
 _NO_WORD = re.compile(r"\[[^\]\n]{0,60}\]|\([^)\s]{1,20}\)|\S*[\d_=/\\@#<>{}|]\S*|\b\w+-[A-Z]\w*(-\w+)*|https?:\S+")
 _HAN = re.compile("[㐀-鿿]")
@@ -156,7 +156,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 def label_language(lang: Column) -> Column:
     """The language that a label names in any spelling; NULL if it names none."""
     word = F.lower(F.trim(F.coalesce(lang, F.lit(""))))
-    first = F.regexp_extract(word, r"^([^\s_\-]*)", 1)
+    first = F.regexp_extract(word, r"^(\p{L}*)", 1)
     known = F.create_map(*[F.lit(x) for code, names in SPELLINGS.items() for name in names for x in (name, code)])
     return F.coalesce(F.try_element_at(known, word), F.try_element_at(known, first))
 
