@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lattica.operators.skew import PARTS, HeavyKeys
 
-#: Buckets of an ordinary key over the whole span of time; a key with many changes gets more, one per CHANGES_PER_BUCKET.
+#: Buckets of an ordinary key over the whole span of time; a key with many changes or events gets more, about one per
+#: CHANGES_PER_BUCKET or EVENTS_PER_BUCKET.
 BASE_BUCKETS = 4
 CHANGES_PER_BUCKET = 2_000
+EVENTS_PER_BUCKET = 20_000
 MAX_HEAVY = 65_536
 
 
@@ -29,7 +31,7 @@ def as_of(events: DataFrame, changes: DataFrame, keys: Sequence[str], event_id:
     none stands. Events with a NULL time or key have no row. Repeated events or changes have no effect, so the result
     has one row per event and kind.
 
-    1. Time is cut into buckets, more of them for keys with many changes. Within (kind, key, bucket) the successive
+    1. Time is cut into buckets, more of them for keys with many changes or events. Within (kind, key, bucket) the successive
        change times give half-open validity intervals (since, next since].
     2. What stands at the end of a bucket is valid in the following buckets up to the next one with changes: it is
        exploded into these. This needs only one row per (key, bucket), so no task sees all changes of one key.
@@ -46,6 +48,7 @@ def as_of(events: DataFrame, changes: DataFrame, keys: Sequence[str], event_id:
     span = max([x for x in (lows[1], ends[1]) if x is not None], default=0) - start + 1
 
     heavy = HeavyKeys(changes.select(*keys), keys, CHANGES_PER_BUCKET, MAX_HEAVY, max_parts=1 << 20)
+    heavy = heavy.joined(HeavyKeys(events.select(*keys), keys, EVENTS_PER_BUCKET, MAX_HEAVY, max_parts=1 << 20))
 
     def bucketed(df: DataFrame, ts: Column) -> DataFrame:
         with_parts = heavy.parts(df).withColumn(PARTS, F.when(F.col(PARTS) > 1, F.col(PARTS)).otherwise(BASE_BUCKETS).cast("bigint"))

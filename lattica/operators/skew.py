@@ -35,6 +35,15 @@ class HeavyKeys:
         self.schema = df.select(*self.keys).schema.add(PARTS, T.IntegerType())
         self.spark = df.sparkSession
 
+    def joined(self, other: HeavyKeys) -> HeavyKeys:
+        """These heavy keys and those of another table with the same keys; the larger number of parts counts."""
+        parts = {tuple(r[k] for k in self.keys): r[PARTS] for r in self.rows}
+        for r in other.rows:
+            key = tuple(r[k] for k in other.keys)
+            parts[key] = max(r[PARTS], parts.get(key, 0))
+        self.rows = [(*k, n) for k, n in parts.items()]
+        return self
+
     def frame(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, self.schema)
 

@@ -15,7 +15,7 @@ from lattica.operators import prompts as P
 from lattica.operators.asof import as_of
 from lattica.plans.graph_queries import round6
 from lattica.plans.model_queries import _MENTIONS, _RELATIONS, column_mentions, relations
-from lattica.session import shared_dir, table
+from lattica.session import table, work_dir
 from lattica.sources.datasets import top_trials
 from lattica.streaming import windows as W
 
@@ -319,7 +319,7 @@ def approximate_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, name: str, make, mode: str) -> DataFrame:
     """What a stream over the events, delivered as files in the order of their time, has written in its batches."""
-    at = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    at = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     table(spark, d, "events").repartitionByRange(4, "ts").write.parquet(f"{at}/in")
     stream = make(W.read_events(spark, f"{at}/in"))
     W.run_to_table(stream, f"{at}/out", f"{at}/state", mode)

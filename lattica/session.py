@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -60,13 +61,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The session's own part of the shared folder. It is deleted by `clean`, or when the driver ends."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lattica_work", False):
+        sc._lattica_work = True
+        atexit.register(clean, spark)
+    return f"{shared_dir(spark)}/lattica-{sc.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the session's written tables. DataFrames that still read them can't be used any more."""
+    try:
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives the loss of executors.
 
     A table is written, rather than DataFrame.checkpoint, because the latter evaluates the last stage twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -96,6 +96,7 @@ def brute(events, changes):
 
 def test_as_of_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(asof, "CHANGES_PER_BUCKET", 40)
+    monkeypatch.setattr(asof, "EVENTS_PER_BUCKET", 60)
     rng = random.Random(5)
     when = lambda: None if rng.random() < 0.1 else T0 + timedelta(seconds=rng.randrange(400) * 100)
     key = lambda: rng.choice([1, 1, 1, 2, 3, 4, None])
