@@ -36,6 +36,8 @@ LANGUAGES = tuple(SPELLINGS)
 
 #: The classifier is trained on about this many labelled documents of each language, drawn by the hash of their ids.
 TRAIN_PER_LANGUAGE = 1_500
+#: Of each training document so many characters are used; what is to be identified is read whole.
+TRAIN_CHARACTERS = 5_000
 SLOTS = 1 << 16
 LONGEST_GRAM = 4
 #: Every letter is part of LONGEST_GRAM n-grams, so the sum of their log-probabilities counts it so many times.
@@ -172,7 +174,7 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     space = 1 << 20
     share = F.create_map(*[F.lit(x) for k in LANGUAGES for x in (k, int(min(1.0, per_language / max(have.get(k, 0), 1)) * space))])
     drawn = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(space)) < F.element_at(share, F.col("label")))
-    rows = drawn.select(id_col, F.substring(text_col, 1, 20_000).alias("text"), "label").limit(2 * per_language * len(LANGUAGES)).toArrow()
+    rows = drawn.select(id_col, F.substring(text_col, 1, TRAIN_CHARACTERS).alias("text"), "label").limit(2 * per_language * len(LANGUAGES)).toArrow()
     texts, labels = [], []
     for text, label in zip(rows["text"].to_pylist(), rows["label"].to_pylist()):
         for _, _, s in sentences(text):

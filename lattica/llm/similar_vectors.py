@@ -183,7 +183,7 @@ class IvfPq:
         joined = found.select("query", "load", "id").join(self._rows(df), "id").select("query", "load", "id", "emb")
         return joined.mapInArrow(run, "query bigint, id bigint, cosine double")
 
-    def pairs_above(self, df: DataFrame, least: float, probes: int = 4) -> DataFrame:
+    def pairs_above(self, df: DataFrame, least: float, probes: int = 6) -> DataFrame:
         """(a, b, cosine), a < b: all pairs with a cosine of at least `least` that share a probed list.
 
         A code is passed on whenever its product plus the length that it leaves out reaches `least`, so the codes lose
@@ -299,7 +299,7 @@ def copy_classes(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.join(several, ["h1", "h2"]).select("id", "class").distinct()
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, probes: int = 4) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int, least: float, probes: int = 6) -> DataFrame:
     """(a, b), a < b: the pairs of vectors with a cosine of at least `least` > 0.
 
     Copies of the same vector are searched once, under the smallest of their ids, and expanded in the end. Vectors
