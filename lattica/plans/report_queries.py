@@ -16,7 +16,7 @@ from lattica.operators.asof import as_of
 from lattica.plans.graph_queries import round6
 from lattica.plans.model_queries import _MENTIONS, _RELATIONS, column_mentions, relations
 from lattica.session import table, work_dir
-from lattica.sources.datasets import top_trials
+from lattica.sources import datasets as D
 from lattica.streaming import windows as W
 
 QUERIES: dict = {}
@@ -141,7 +141,7 @@ def median_prune(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TRIALS} SELECT trial, max(v) AS value FROM t GROUP BY trial ORDER BY value DESC NULLS LAST, trial LIMIT 5")
 def trial_top5(spark: SparkSession, d: str) -> DataFrame:
-    return top_trials(trials(spark, d).groupBy("trial").agg(F.max("v").alias("value")))
+    return D.top_trials(trials(spark, d).groupBy("trial").agg(F.max("v").alias("value")))
 
 
 @query(f"WITH {_LOG} SELECT task, metric, marker, value FROM (SELECT *, row_number() OVER (PARTITION BY task, metric ORDER BY value DESC, marker) AS rn FROM latest) WHERE rn = 1")
@@ -350,3 +350,32 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, count(*)::BIGINT AS n, max(event_id)::BIGINT AS last FROM events GROUP BY user_id")
 def stream_running_degrees(spark: SparkSession, d: str) -> DataFrame:
     return W.last_per_key(_streamed(spark, d, "degrees", lambda e: W.running_degrees(e, "user_id", "event_id"), "update"), "user_id")
+
+
+# Datasets on disk
+
+
+@query("SELECT relation, direction, count(*)::BIGINT AS n, sum(number)::BIGINT AS numbers, max(dst___timestamp) AS last_ts FROM edges GROUP BY 1, 2")
+def dataset_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Edges written in their layout, one folder per directed relation, and read again."""
+    root = f"{work_dir(spark)}/dataset-{uuid.uuid4().hex}"
+    D.write_table(table(spark, d, "edges").withColumnRenamed("number", "row_id"), root, "edges")
+    return D.read_table(spark, root, "edges").groupBy("relation", "direction").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("numbers"), F.max("dst___timestamp").alias("last_ts"))
+
+
+@query("SELECT r.entity, r.row_id, e.\"timestamp\" AS ts FROM (SELECT entity, row_id FROM class_rows UNION ALL SELECT entity, row_id FROM entity_rows WHERE row_id % 50 = 0) r JOIN (SELECT DISTINCT entity, row_id, \"timestamp\" FROM entity_rows) e ON e.entity = r.entity AND e.row_id = r.row_id")
+def row_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by their ids, as often as these are asked for."""
+    rows = table(spark, d, "entity_rows").select("entity", "row_id", F.col("timestamp").alias("ts"))
+    asked = table(spark, d, "class_rows").select("entity", "row_id").unionByName(rows.filter("row_id % 50 = 0").select("entity", "row_id"))
+    key = F.struct("entity", "row_id")
+    return D.rows_by_id(rows.distinct().withColumn("key", key).select("key", "ts"), asked.select(key.alias("key")), "key").select("key.entity", "key.row_id", "ts")
+
+
+@query("SELECT task_type AS task_group, (row_number() OVER (PARTITION BY task_type ORDER BY task) - 1)::INT AS position, task FROM metatask")
+def task_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Named lists of tasks, here by their type."""
+    groups: dict[str, list[str]] = {}
+    for r in table(spark, d, "metatask").select("task", "task_type").orderBy("task").collect():
+        groups.setdefault(r["task_type"], []).append(r["task"])
+    return D.task_groups(spark, groups)
