@@ -38,7 +38,8 @@ def as_of(events: DataFrame, changes: DataFrame, keys: Sequence[str], event_id:
     3. Events and intervals meet by an equi-join on key and bucket, with containment as the residual condition.
     """
     keys = list(keys)
-    events = events.filter(F.col(at).isNotNull())
+    events = events.select(event_id, *keys, at).filter(F.col(at).isNotNull())
+    changes = changes.select("kind", *keys, "since", "r1", "r2", "id")
     for k in keys:
         events = events.filter(F.col(k).isNotNull())
         changes = changes.filter(F.col(k).isNotNull())

@@ -24,7 +24,7 @@ def class_scores(seeds: DataFrame, classes: DataFrame, seed_vec: str = "x", clas
     """
     all_classes = classes.agg(F.array_sort(F.collect_list(F.struct("class_id", class_vec))).alias("__all"))
     logits = F.transform("__all", lambda k: V.dot(F.col(seed_vec), k[class_vec]))
-    return seeds.join(F.broadcast(all_classes)).withColumn("logits", logits).drop("__all")
+    return seeds.withColumn("__all", all_classes.scalar()).withColumn("logits", logits).drop("__all")
 
 
 def mode(classes: int, fine_tuned: bool) -> str:

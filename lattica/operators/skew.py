@@ -74,6 +74,7 @@ class HeavyKeys:
 def salted_aggregate(
     df: DataFrame,
     keys: Sequence[str],
+    values: Sequence[str],
     partial: Mapping[str, Column],
     merge: Mapping[str, Column],
     row_id: str,
@@ -87,11 +88,12 @@ def salted_aggregate(
     executor was lost then gives the same rows to the same part, and rows delivered twice meet in one part, where all
     but one are dropped.
 
-    Rows with a NULL in any key have no key and are left out. Rows with a NULL `row_id` are never duplicates of each
-    other only if they differ in another column. An empty table gives an empty result. Columns that the aggregates
-    don't read are pruned, so extra columns do no harm; keys must not be named __salt or __parts.
+    `values` are the columns that the aggregates read. Rows equal in keys, row_id and values count once; so rows
+    without a row_id count once if they are equal otherwise. Rows with a NULL in any key have no key and are left out.
+    An empty table gives an empty result. Other columns aren't read, whatever their names; keys and values must not
+    be named __salt or __parts.
     """
-    rows = df
+    rows = df.select(*dict.fromkeys([*keys, row_id, *values]))
     for k in keys:
         rows = rows.filter(F.col(k).isNotNull())
     heavy = heavy or HeavyKeys(rows, keys, rows_per_part)

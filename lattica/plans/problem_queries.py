@@ -19,6 +19,7 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
     return salted_aggregate(
         rows,
         ["entity", "number"],
+        ["dst_id", "dst_ts"],
         {
             "degree": F.count(F.lit(1)),
             "static_degree": F.count_if(F.col("dst_ts").isNull()),
@@ -43,8 +44,7 @@ def p1_key_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "edges").select("edge_id", "entity", "number")
-    degrees = salted_aggregate(rows, ["entity", "number"], {"degree": F.count(F.lit(1))}, {"degree": F.sum("degree")}, row_id="edge_id")
+    degrees = salted_aggregate(table(spark, d, "edges"), ["entity", "number"], [], {"degree": F.count(F.lit(1))}, {"degree": F.sum("degree")}, row_id="edge_id")
     total = degrees.agg(F.sum("degree")).scalar()
     return degrees.filter(F.col("degree") >= F.lit(HEAVY_SHARE) * total).select("entity", "number")
 

@@ -11,17 +11,22 @@ from lattica.operators.skew import HeavyKeys, salted_aggregate
 T0 = datetime(2024, 1, 1)
 
 
+def clashing(df, *names):
+    """df with columns that are named as those the operator makes for itself."""
+    return df.withColumns({n: F.rand() for n in names})
+
+
 def degree(df, **more):
-    return salted_aggregate(df, ["k"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"n": F.sum("n"), "s": F.sum("s")}, row_id="id", **more)
+    return salted_aggregate(df, ["k"], ["v"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"n": F.sum("n"), "s": F.sum("s")}, row_id="id", **more)
 
 
 def test_heavy_key_is_split_and_merged(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(3000)]
     rows += rows[:200]  # delivered twice
-    df = spark.createDataFrame(rows, "id bigint, k string, v bigint").withColumn("n", F.lit("clashes"))
+    df = spark.createDataFrame(rows, "id bigint, k string, v bigint")
     heavy = HeavyKeys(df, ["k"], 100)
     assert [r["k"] for r in heavy.rows] == ["hot"] and heavy.rows[0]["__parts"] > 5
-    got = {r["k"]: (r["n"], r["s"]) for r in degree(df.drop("n"), rows_per_part=100).collect()}
+    got = {r["k"]: (r["n"], r["s"]) for r in degree(clashing(df, "n", "s", "__salt", "__parts", "count"), rows_per_part=100).collect()}
     want = {}
     for _, k, v in set(rows):
         n, s = want.get(k, (0, 0))
@@ -59,7 +64,8 @@ def test_orphans(spark):
         (1, "a", 1, None), (2, "a", 1, day(5)), (3, "a", 2, day(9)), (4, "a", 2, day(10)), (5, "a", 2, day(19)), (6, "a", 2, day(20)),
         (7, "a", 2, None), (8, "b", 2, None), (9, "c", 1, day(1)), (10, None, 1, day(1)), (11, "a", None, day(1)), (9, "c", 1, day(1)),
     ]
-    found = references.orphan_references(spark.createDataFrame(refs, REFS), parents)
+    names = ("__salt", "__parts", "born", "w", "p")
+    found = references.orphan_references(clashing(spark.createDataFrame(refs, REFS), *names), clashing(parents, "__salt", "at", "ref_id"))
     assert sorted(r["ref_id"] for r in found.collect()) == [3, 6, 8, 9, 9, 10]
     counts = {(r["entity"], r["period"]): (r["orphan_refs"], r["missing_ids"]) for r in references.orphan_counts(found).collect()}
     assert counts == {("a", "2024-01"): (2, 1), ("b", None): (1, 1), ("c", "2024-01"): (1, 1), (None, "2024-01"): (1, 1)}
@@ -105,7 +111,10 @@ def test_as_of_equals_brute_force(spark, monkeypatch):
         ts, known = when(), T0 + timedelta(seconds=rng.randrange(400) * 100)
         changes.append(("versions", key(), known if ts is None else max(ts, known), ts, known, i) if i % 2 else ("edges", key(), ts, ts, None, i))
     events = [(i, key(), when()) for i in range(400)]
-    got = asof.as_of(spark.createDataFrame(events + events[:50], EVENTS), spark.createDataFrame(changes + changes[:50], CHANGES), ["k"], "task_row_id")
+    names = ("bucket", "best", "until", "__parts", "from", "to")
+    left = clashing(spark.createDataFrame(events + events[:50], EVENTS), *names, "since", "kind", "id")
+    right = clashing(spark.createDataFrame(changes + changes[:50], CHANGES), *names, "at", "task_row_id")
+    got = asof.as_of(left, right, ["k"], "task_row_id")
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(events, changes)
 
