@@ -137,3 +137,72 @@ def mix_layers(vectors: Column, logits: list[float], dim: int) -> Column:
     """Softmax-weighted sum of the vectors of the last layers."""
     e = np.exp(np.array(logits) - max(logits))
     return V.weighted_sum(vectors, F.array(*[F.lit(float(w)) for w in e / e.sum()]), dim)
+
+
+@dataclass
+class ModelLayer:
+    """A layer with what stands around it: pooling of the columns and the update of the task vectors."""
+
+    block: Layer
+    pool: np.ndarray  # dim x dim, turns the pooled columns, or from the second layer on the query into a gate
+    task: np.ndarray  # dim x dim, what the nodes add to their task vectors
+
+    @classmethod
+    def seeded(cls, dim: int, seed: int, zero_gates: bool = True) -> ModelLayer:
+        rng = np.random.default_rng(seed + 1_000)
+        w = lambda: rng.normal(0, 1 / np.sqrt(dim), (dim, dim))
+        return cls(Layer.seeded(dim, seed, zero_gates), w(), w())
+
+
+def _softmax(s: np.ndarray) -> np.ndarray:
+    e = np.exp(s - s.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def column_pool(names: dict[str, np.ndarray], weights: np.ndarray, queried: bool):
+    """A column function of (entity, columns, query): one vector per row from the vectors of its columns.
+
+    names has the vectors of the column names of each entity, one row per column; these are the keys. Without a query
+    they are the queries too, and the mean over them is turned by the weights; with one, the pooled vector is
+    multiplied by the turned query. A column that is hidden is given as NULL and has no part; a row with none is zero.
+    """
+
+    def pooled(entity: str, columns, query) -> np.ndarray:
+        keys = names[entity]
+        dim = keys.shape[1]
+        seen = np.array([c is not None for c in columns], bool)
+        if not seen.any():
+            return np.zeros(dim)
+        values = np.stack([np.asarray(c, np.float64) for c in columns if c is not None])
+        asked = (query[None] if queried else keys) @ keys[seen].T / np.sqrt(dim)
+        out = (_softmax(asked) @ values).mean(axis=0)
+        return out * (weights @ query) if queried else weights @ out
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(entity: pd.Series, columns: pd.Series, query: pd.Series) -> pd.Series:
+        return pd.Series([pooled(e, c, np.asarray(q, np.float64)) for e, c, q in zip(entity, columns, query)], dtype=object)
+
+    return apply
+
+
+def run_model(nodes: DataFrame, names: dict[str, np.ndarray], edges: DataFrame, relation_vectors: DataFrame, layers: list[ModelLayer], dim: int, sequential: bool = False) -> DataFrame:
+    """id, x: the normalised output of the model over typed nodes.
+
+    nodes: id, entity, columns (ARRAY<ARRAY<DOUBLE>>, one vector per column or NULL where it is hidden) and task, the
+    vector of the task or NULL; then the mean of the entity's column names stands in for it. Each layer pools the
+    columns, adds what it gets, passes messages and, but for the last one, adds to the task vectors.
+    """
+    spark = nodes.sparkSession
+    means = spark.createDataFrame([(e, v.mean(axis=0).tolist()) for e, v in names.items()], "entity string, __mean array<double>")
+    state = nodes.join(F.broadcast(means), "entity").select("id", "entity", "columns", F.coalesce("task", "__mean").alias("task"))
+    for i, layer in enumerate(layers):
+        pool = column_pool(names, layer.pool, i > 0)("entity", "columns", normalized("task") if i else F.col("task"))
+        if i:
+            rows = state.withColumn("__pooled", pool).withColumn("x", V.add(F.col("x"), F.col("__pooled"))).drop("__pooled")
+        else:
+            rows = state.withColumn("x", pool)
+        moved = layer_update(rows.select("id", "x"), edges, relation_vectors, layer.block, dim, sequential)
+        state = rows.drop("x").join(moved, "id")
+        if i < len(layers) - 1:
+            state = state.withColumn("__more", linear(layer.task)(normalized("x"))).withColumn("task", V.add(F.col("task"), F.col("__more"))).drop("__more")
+    return state.select("id", normalized("x").alias("x"))

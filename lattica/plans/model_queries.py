@@ -681,3 +681,16 @@ def seed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     *_, (_, last) = M.message_passing(nodes, edges, rel, layers, DIM)
     seeds = table(spark, d, "embeddings").filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("id"), "label")
     return last.join(seeds, "id").select("id", "label", round6(V.norm(F.col("x"))).alias("norm"))
+
+
+@query()
+def model_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers of the whole model: two kinds of nodes with two and one columns, one of them hidden on some."""
+    nodes, edges, rel = vector_graph(spark, d)
+    kind = F.when(F.col("id") % 2 == 0, "even").otherwise("odd")
+    hidden = F.when(F.col("id") % 10 != 0, F.col("x"))
+    columns = F.when(F.col("id") % 2 == 0, F.array(hidden, V.l2_normalize(F.col("x")))).otherwise(F.array("x"))
+    rows = nodes.select("id", kind.alias("entity"), columns.alias("columns"), F.lit(None).cast("array<double>").alias("task"))
+    names = {"even": M.np.eye(2, DIM), "odd": M.np.eye(1, DIM, 5)}
+    out = M.run_model(rows, names, edges, rel, [M.ModelLayer.seeded(DIM, k, zero_gates=False) for k in (1, 2)], DIM)
+    return out.select("id", round6(F.get("x", F.lit(0))).alias("first"), round6(V.norm(F.col("x"))).alias("norm"))

@@ -16,6 +16,7 @@ from lattica.operators import message as M
 from lattica.operators import metrics as X
 from lattica.operators import tasks as K
 from lattica.sources import arrays, datasets
+from lattica.sources import checkpoints as S
 from lattica.streaming import windows as W
 
 DIM = 3
@@ -100,6 +101,57 @@ def test_no_edges_give_zeros(graph):
     assert {tuple(k["message"]) for k in M.relational_messages(nodes, edges.limit(0), rel, DIM).collect()} == {(0.0,) * DIM}
 
 
+@pytest.mark.parametrize("sequential", [False, True])
+def test_model(spark, graph, sequential):
+    (_, edges, rel), _, e, r = graph
+    rng = np.random.default_rng(9)
+    names = {"u": rng.normal(size=(2, DIM)), "v": rng.normal(size=(4, DIM))}
+    entity = ["u", "v", "v", "u", "u", "v"]
+    columns = [rng.normal(size=names[k].shape) for k in entity]
+    hidden = {(0, 1), (3, 0), (3, 1), (5, 2)}
+    task = [rng.normal(size=DIM) if i % 2 else None for i in range(6)]
+    layers = [M.ModelLayer.seeded(DIM, k, zero_gates=False) for k in (1, 2, 3)]
+    rows = [(i, entity[i], [None if (i, j) in hidden else v.tolist() for j, v in enumerate(columns[i])], None if task[i] is None else task[i].tolist()) for i in range(6)]
+    nodes = spark.createDataFrame(rows, "id bigint, entity string, columns array<array<double>>, task array<double>")
+    got = {k["id"]: k["x"] for k in M.run_model(nodes, names, edges, rel, layers, DIM, sequential).collect()}
+
+    soft = lambda s: np.exp(s) / np.exp(s).sum(axis=-1, keepdims=True)
+    t = np.stack([names[entity[i]].mean(axis=0) if task[i] is None else task[i] for i in range(6)])
+    x = np.zeros((6, DIM))
+    for k, layer in enumerate(layers):
+        n = norm(t)
+        for i in range(6):
+            seen = [j for j in range(len(columns[i])) if (i, j) not in hidden]
+            if seen:
+                keys, values = names[entity[i]], columns[i][seen]
+                if k:
+                    x[i] += soft(n[i] @ keys[seen].T / np.sqrt(DIM)) @ values * (layer.pool @ n[i])
+                else:
+                    x[i] = layer.pool @ (soft(keys @ keys[seen].T / np.sqrt(DIM)) @ values).mean(axis=0)
+        b, n = layer.block, norm(x)
+        sent = n @ b.before.T
+        sent = sent if sequential else silu(sent)
+        both = sum((n @ g.T) * messages(sent, e, {a: w @ v for a, v in r.items()}, back) for back, w, g in ((False, b.relation, b.gate), (True, b.reverse_relation, b.reverse_gate)))
+        x = x + silu(both) if sequential else x + n @ b.forward.T + both
+        if sequential:
+            x = x + b.alpha * norm(x) @ b.forward.T
+        if k < 2:
+            t = t + norm(x) @ layer.task.T
+    for i in range(6):
+        assert got[i] == pytest.approx(list(norm(x)[i]), abs=1e-6)
+
+
+def test_checkpoints(spark, tmp_path):
+    for k in (1, 2):
+        S.save_layers(spark, f"{tmp_path}/w", f"c{k}", [M.Layer.seeded(DIM, k), M.Layer.seeded(DIM, k + 5)])
+    first, second = S.load_layers(spark, f"{tmp_path}/w", "c2")
+    assert (first.before == M.Layer.seeded(DIM, 2).before).all() and (second.forward == M.Layer.seeded(DIM, 7).forward).all() and first.alpha == 1e-6
+    scores = spark.createDataFrame([("c1", 0.5), ("c2", 0.5)], "checkpoint string, value double")
+    assert {r["checkpoint"] for r in S.best_only(spark.read.parquet(f"{tmp_path}/w"), scores).collect()} == {"c1"}
+    with pytest.raises(KeyError):
+        S.load_layers(spark, f"{tmp_path}/w", "c3")
+
+
 def test_probe_and_neighbors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 4))
