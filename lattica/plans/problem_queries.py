@@ -10,7 +10,8 @@ from lattica.operators.references import orphan_counts, orphan_references
 from lattica.operators.skew import salted_aggregate
 from lattica.session import broadcast_if_small, table
 
-HEAVY_SHARE = 0.02
+#: A key is heavy with so many hundredths of all edges.
+HEAVY_PERCENT = 2
 
 
 def edge_statistics(edges: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def p1_key_stats(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     degrees = salted_aggregate(table(spark, d, "edges"), ["entity", "number"], [], {"degree": F.count(F.lit(1))}, {"degree": F.sum("degree")}, row_id="edge_id")
     total = degrees.agg(F.sum("degree")).scalar()
-    return degrees.filter(F.col("degree") >= F.lit(HEAVY_SHARE) * total).select("entity", "number")
+    return degrees.filter(F.col("degree") * 100 >= total * HEAVY_PERCENT).select("entity", "number")
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
