@@ -281,7 +281,8 @@ def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
                 key, klass = _keys(_Batch(batch), shared.value, side, days)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(klass)], names=["key", "class"])
 
-        return usable.filter(F.col("side") == side).mapInArrow(run, "key bigint, class bigint")
+        rows = usable.filter(F.col("side") == side).mapInArrow(run, "key bigint, class bigint")
+        return rows.repartition("key").dropDuplicates()  # copies from many blocks: once per class, in the join's own partitions
 
     left, right = keyed(0).withColumnRenamed("class", "class_a"), keyed(1).withColumnRenamed("class", "class_b")
     pairs = materialize(left.join(right, "key").select("class_a", "class_b").distinct(), "overlap-candidates")
