@@ -224,16 +224,21 @@ def revisit_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def graph_khop2(spark: SparkSession, d: str) -> DataFrame:
-    """Two hops over the whole `edges` table from all test rows at their own cutoffs, 10 neighbours per relation."""
-    tasks = broadcast_if_small(table(spark, d, "metatask").select("task", F.col("seed_entity").alias("entity")))
-    rows = table(spark, d, "task_rows").filter(F.col("split") == "test").join(tasks, "task").filter(F.col("nodeidx").isNotNull())
+    """Two hops over the whole `edges` table from the task rows of all splits, 10 neighbours per relation.
+
+    Rows see what is before their own cutoff; those of tasks without time see all.
+    """
+    tasks = broadcast_if_small(table(spark, d, "metatask").select("task", F.col("seed_entity").alias("entity"), "has_timestamp"))
+    rows = table(spark, d, "task_rows").join(tasks, "task").filter(F.col("nodeidx").isNotNull())
     path = F.md5(F.concat_ws("|", F.col("task_row_id").cast("string"), "entity", F.col("nodeidx").cast("string")))
-    start = rows.select(F.col("task_row_id").alias("seed_id"), path.alias("inst_id"), "entity", F.col("nodeidx").alias("row_id"), F.lit(0).alias("depth"), F.col("timestamp").alias("cutoff")).distinct()
+    start = rows.select(F.col("task_row_id").alias("seed_id"), path.alias("inst_id"), "entity", F.col("nodeidx").alias("row_id"), F.lit(0).alias("depth"), F.col("timestamp").alias("cutoff"), "has_timestamp").distinct()
     parts = F.split("relation", ":")
     e = table(spark, d, "edges").distinct()
     dst = F.when(F.col("direction") == "head of", parts[2]).otherwise(parts[0])
     adjacency = e.select("entity", F.col("number").alias("row_id"), "relation", "direction", dst.alias("dst_entity"), "dst_id", F.col("dst___timestamp").alias("dst_ts"))
-    found, _ = X.expand(start, adjacency, 2, 10)
+    timed, _ = X.expand(start.filter("has_timestamp").drop("has_timestamp"), adjacency, 2, 10)
+    timeless, _ = X.expand(start.filter("NOT has_timestamp").drop("has_timestamp"), adjacency, 2, 10, timed=False)
+    found = timed.unionByName(timeless)
     return found.groupBy("entity", "depth").agg(F.count(F.lit(1)).alias("n_instances"), F.count_distinct("seed_id").alias("n_seeds"))
 
 

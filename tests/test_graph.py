@@ -9,6 +9,7 @@ from lattica.operators import edges as E
 from lattica.operators import expand as X
 from lattica.operators import sampling as S
 from lattica.operators.ordering import hash_order, hash_rank, running_sums
+from lattica.plans import graph_queries
 
 T0 = datetime(2024, 1, 1)
 EDGES = "entity string, row_id bigint, relation string, direction string, dst_entity string, dst_id bigint, dst_ts timestamp_ntz"
@@ -128,3 +129,16 @@ def test_stratified_context(spark):
     assert S.stratified_context(df.withColumn("y", F.col("y") + 0.5), "r", "y", 10, "s").count() == 10
     many = df.withColumn("y", F.col("r").cast("double"))
     assert S.stratified_context(many, "r", "y", 10, "s").count() == 10
+
+
+def test_graph_khop2_takes_all_splits_and_tasks_without_time(spark, tmp_path):
+    late = T0 + timedelta(1)
+    tables = {
+        "metatask": ([("t", "a", True), ("u", "a", False)], "task string, seed_entity string, has_timestamp boolean"),
+        "task_rows": ([(1, "t", "train", 1, T0), (2, "t", "valid", 1, late), (3, "t", "test", 1, None), (4, "u", "test", 1, None), (5, "u", "train", 1, None)], "task_row_id bigint, task string, split string, nodeidx bigint, timestamp timestamp_ntz"),
+        "edges": ([("a", 1, "a:r:b", "head of", 7, None), ("a", 1, "a:r:b", "head of", 8, T0), ("b", 7, "a:r:b", "tail of", 2, late)], "entity string, number bigint, relation string, direction string, dst_id bigint, dst___timestamp timestamp_ntz"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["entity"], r["depth"]): (r["n_instances"], r["n_seeds"]) for r in graph_queries.graph_khop2(spark, str(tmp_path)).collect()}
+    assert got == {("a", 0): (5, 5), ("b", 1): (1 + 2 + 2 + 2, 4), ("a", 2): (2, 2)}
