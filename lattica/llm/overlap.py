@@ -34,8 +34,10 @@ from lattica.session import broadcast_if_small, materialize
 WINDOW = 3
 #: A cut is where the rolling hash has its peak among so many places on either side, so chunks have more characters.
 RADIUS = 7
-SHARED = 0.22
+#: Pairs with at least this part of the longer text in shared chunks are sure to be candidates; what counts in the end is SIMILAR.
+SHARED = 0.1
 SIMILAR = 0.8
+BINS = 509
 SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 13
 ROWS_AT_ONCE = 1_000
@@ -252,12 +254,29 @@ def trigram_similarity(a: str, b: str) -> float:
     return 2 * sum((x & y).values()) / (x.total() + y.total())
 
 
+def trigram_bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """Per pair what trigram_similarity is at most: trigrams that fall into the same of BINS count as equal."""
+
+    def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        inside = row[:-2] == row[2:]
+        at = row[:-2] * BINS + ((codes[:-2] * 131 + codes[1:-1]) * 131 + codes[2:]) % BINS
+        return np.bincount(at[inside], minlength=len(texts) * BINS).reshape(-1, BINS), sizes
+
+    (x, m), (y, n) = counted(a), counted(b)
+    bound = 2 * np.minimum(x, y).sum(1) / (np.maximum(1, m - 2) + np.maximum(1, n - 2))
+    return np.where((m < 3) | (n < 3), 1.0, bound)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _blocks(batches):
         a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        share = overlap_fractions(a, b) if len(a) else np.zeros(0)
-        sure = np.array([s >= SHARED and trigram_similarity(x, y) >= SIMILAR for s, x, y in zip(share, a, b)], bool)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["class_a", "class_b", "overlap"]).filter(pa.array(sure))
+        sure = [i for i in np.flatnonzero(trigram_bounds(a, b) >= SIMILAR).tolist() if trigram_similarity(a[i], b[i]) >= SIMILAR] if len(a) else []
+        share = overlap_fractions([a[i] for i in sure], [b[i] for i in sure]) if sure else np.zeros(0)
+        at = pa.array(sure, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(share)], names=["class_a", "class_b", "overlap"])
 
 
 def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +284,7 @@ def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
 
     rows: id BIGINT, task STRING, side INT (0 and 1), label DOUBLE, at TIMESTAMP_NTZ, text STRING. A pair needs the
     same task, labels at most 1 % (of the larger) or 0.01 apart, times at most `days` apart or both NULL, and texts
-    that agree almost: chunks overlap by SHARED and trigrams by SIMILAR. Rows without task, text or numeric label, and
+    whose trigrams agree by SIMILAR; such pairs are sure to be found if chunks overlap by SHARED. Rows without task, text or numeric label, and
     texts without any letter or digit, are no case. Redelivered rows are members of the same class.
 
     Result: (class_a, class_b, overlap) with class_a of side 0, and (class, id, side).

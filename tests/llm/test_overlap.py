@@ -72,6 +72,33 @@ def test_stated_cases(spark):
     assert found(spark, rows) == {(1, 2), (1, 3), (1, 13)}
 
 
+def test_similar_texts_with_few_shared_chunks(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(0, 100_000, 2):
+        fields = [text(rng, 2) for _ in range(6)]
+        a = "; ".join(fields)
+        rng.shuffle(fields)
+        b = list("; ".join(fields))
+        for _ in range(2):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        b = "".join(b)
+        x, y = O.normal(a), O.normal(b)
+        if 0.1 <= O.overlap_fractions([x], [y])[0] < 0.2 and O.trigram_similarity(x, y) >= O.SIMILAR:
+            rows += [(i, "x", 0, 1.0, None, a), (i + 1, "x", 1, 1.0, None, b)]
+            want.add((i, i + 1))
+        if len(want) == 20:
+            break
+    assert len(want) == 20 and found(spark, rows) == want
+
+
+def test_trigram_bounds_are_no_less_than_the_similarity():
+    rng = random.Random(9)
+    texts = ["", "a", "ab", "abc"] + [O.normal(text(rng, rng.randrange(1, 9))) for _ in range(40)]
+    a, b = zip(*[(x, y) for x in texts for y in texts if x and y])
+    assert all(bound >= O.trigram_similarity(x, y) for bound, x, y in zip(O.trigram_bounds(list(a), list(b)), a, b))
+
+
 def test_copies_are_one_class(spark):
     rng = random.Random(4)
     t = text(rng)
