@@ -15,6 +15,7 @@ from lattica.operators import merge as G
 from lattica.operators import message as M
 from lattica.operators import metrics as X
 from lattica.operators import tasks as K
+from lattica.plans import model_queries
 from lattica.sources import arrays, datasets
 from lattica.sources import checkpoints as S
 from lattica.streaming import windows as W
@@ -332,3 +333,8 @@ def test_streams(spark, tmp_path):
     once = W.first_deliveries(W.read_events(spark, f"{tmp_path}/in"), "ts", "id", "1 day")
     W.run_to_table(once, f"{tmp_path}/once", f"{tmp_path}/state2")
     assert spark.read.parquet(f"{tmp_path}/once").count() == 12
+
+
+def test_seed_embeddings_are_of_all_vectors(spark, small):
+    ids = [r["id"] for r in model_queries.seed_embeddings(spark, small).select("id").collect()]
+    assert sorted(ids) == sorted(r["vec_id"] for r in spark.read.parquet(f"{small}/embeddings.parquet").collect())
