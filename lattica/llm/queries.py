@@ -99,12 +99,11 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    found = document_languages(segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang")), "doc_id")
-    labels = docs.select("doc_id", label_language(F.col("lang")).alias("label"))
-    corrected = F.col("main") & ~F.col("mixed") & ~F.col("label").eqNullSafe(F.col("lang")) & ~F.col("any_mixed")
-    rows = found.join(labels, "doc_id").withColumn("any_mixed", F.lit(False))
-    return rows.filter(F.col("mixed") | corrected).select("doc_id", "lang")
+    """A document of several languages has a row for each of them, any other one if its main language isn't its label."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", label_language(F.col("lang")).alias("label"))
+    found = document_languages(segments(docs, "doc_id", "text", fit_languages(docs, "doc_id", "text", "lang"), ["label"]), "doc_id", ["label"])
+    wrong = F.col("main") & ~F.col("several") & ~F.col("label").eqNullSafe(F.col("lang"))
+    return found.filter(F.col("mixed") | wrong).select("doc_id", "lang")
 
 
 QUERIES = {

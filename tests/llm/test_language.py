@@ -86,3 +86,61 @@ def test_long_text_and_no_labels(spark, model):
 def test_query(spark, small):
     rows = [tuple(r) for r in queries.p9_found(spark, small).collect()]
     assert rows and len(rows) == len(set(rows)) and {k for _, k in rows} <= set(L.LANGUAGES)
+
+
+def test_paths_are_the_best_and_linear():
+    """Against all paths by the plain recursion; and 200,000 sentences of one document in seconds."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    scores = rng.normal(0, 3, (400, len(L.LANGUAGES)))
+    first = np.array([0, 1, 5, 6, 90, 390])
+    want = []
+    for a, b in zip(first, [*first[1:], 400]):
+        best, back = scores[a], []
+        for s in scores[a + 1 : b]:
+            moved = best[:, None] - L.SWITCH * (1 - np.eye(len(best)))
+            back.append(moved.argmax(axis=0))
+            best = s + moved.max(axis=0)
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        want += path[::-1]
+    assert L.best_paths(scores, first).tolist() == want
+    start = time.process_time()
+    assert len(L.best_paths(rng.normal(0, 3, (200_000, len(L.LANGUAGES))), np.array([0]))) == 200_000
+    assert time.process_time() - start < 20
+
+
+def test_document_of_200_000_sentences(spark, model):
+    line = TEXTS["en"][0] + " " + TEXTS["en"][1] + "\n"
+    text = line * 99_000 + (" ".join(TEXTS["de"]) + "\n") * 1_000
+    got = languages(spark, model, [text])
+    assert got[0, "en"]["sentences"] == 198_000 and got[0, "de"]["sentences"] == 2_000 and got[0, "en"]["mixed"]
+    df = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    parts = sorted((r["start"], r["lang"]) for r in L.segments(df, "doc_id", "text", model).collect())
+    assert [k for _, k in parts] == ["en", "de"] and text[parts[1][0] :].startswith("Das Hafenamt")
+
+
+def test_places_of_sentences():
+    texts = ['He said: "We wait here for the boats." Then they left the old harbour.', "", "First line of words here\r\n  second line of words there", "我们等船。港口今天关门了！"]
+    found = L.find_sentences(texts)
+    got = [(d, texts[d][a:b]) for d, a, b in zip(found.doc.tolist(), found.start.tolist(), found.end.tolist())]
+    assert got == [
+        (0, 'He said: "We wait here for the boats.'),
+        (0, "Then they left the old harbour."),
+        (2, "First line of words here"),
+        (2, "second line of words there"),
+        (3, "港口今天关门了！"),
+    ]
+
+
+def test_main_language_beside_a_mixture(spark):
+    """A document whose longest language has one sure sentence only is one of the others, not of that one as well."""
+    part = lambda lang, letters, sure: (1, lang, 0.99, letters, 3, sure)
+    found = spark.createDataFrame([part("en", 900, 1), part("de", 300, 2), part("fr", 200, 2)], "doc_id bigint, lang string, confidence double, letters bigint, sentences int, sure int")
+    rows = {r["lang"]: r for r in L.document_languages(found, "doc_id").collect()}
+    assert rows["en"]["main"] and not rows["en"]["mixed"] and all(r["several"] for r in rows.values())
+    assert rows["de"]["mixed"] and rows["fr"]["mixed"] and abs(sum(r["share"] for r in rows.values()) - 1) < 1e-9
