@@ -1,18 +1,19 @@
 """Same or near-same records across splits: content-defined chunks.
 
-A record is normalised to its letters and digits, so that markup, case, accents, spacing and punctuation play no role,
-and cut where a rolling hash of the last characters says so. Equal passages give equal chunks wherever they stand, so
-the order of fields plays no role either. Two records overlap by the summed length of the chunks that they share, as
-a fraction of the longer one.
+A record is normalised to the letters and digits of its fields, so that markup, case, accents, spacing and punctuation
+play no role. It is cut between fields and, inside a field, where a rolling hash of the last characters says so. Equal
+passages give equal chunks wherever they stand, so the order of fields plays no role either. Two records overlap by
+the summed length of the chunks that they share, as a fraction of the longer one.
 
 Candidates come from an equi-join on chunk digests that is exact for its threshold t: all chunks are put in one global
 order, rarest first; two records that share t of their length share a chunk within the rarest chunks that make up
 1 - t of either. Only these are joined, so passages that stand in very many records are never paired by themselves,
 and nothing is capped. The rarity comes from counters of all chunks of all records in a fixed number of slots. Label
-and time enter the join key as coarse buckets.
+and time enter the join key as coarse buckets. What counts in the end is an exact comparison of trigrams, since one
+changed letter costs a whole chunk: records that agree by 85 % may share a quarter of their length in chunks only.
 
-Records with the same task, split side, label, time and normalised text form one class of copies, which is joined
-once; pairs of rows are only made from pairs of classes that have passed the exact check.
+Records with the same task, split side, label, time and letters form one class of copies, told by 128 bits of hash,
+which is joined once; pairs of rows are only made from pairs of classes that have passed the exact check.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,43 +35,56 @@ from lattica.session import broadcast_if_small, materialize
 
 WINDOW = 3
 #: A cut is where the rolling hash has its peak among so many places on either side, so chunks have more characters.
-RADIUS = 7
+RADIUS = 4
 #: Pairs with at least this part of the longer text in shared chunks are sure to be candidates; what counts in the end is SIMILAR.
-SHARED = 0.1
+SHARED = 0.25
 SIMILAR = 0.8
+#: A text whose fields have fewer letters on average is cut without regard to its fields as well, as marks between all words
+#: may be a way of writing.
+SHORT_FIELDS = 10
 BINS = 509
 SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 13
 ROWS_AT_ONCE = 1_000
+BYTES_AT_ONCE = 4 << 20
 KEY_BITS = 44
 LABEL_WIDTH = 0.1
 DAY = 86_400 * 1_000_000
 NO_TIME = -(1 << 40)
+#: Lists of classes up to this length are broadcast.
+MOST_BROADCAST = 200_000
 
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _DAMAGED = re.compile("[ÃÂâ]")
 _U = np.uint64
 
-
-_LOWER = bytes(range(256)).lower()
-_OTHER = bytes(b for b in range(128) if not chr(b).isalnum())
+#: What stands between the fields of a record, besides a comma before a blank and tags.
+_BETWEEN = ";|\n\r\t"
+_FIELDS = bytes(10 if chr(b) in _BETWEEN else b for b in range(256)).lower()
+_OTHER = bytes(b for b in range(128) if not chr(b).isalnum() and chr(b) not in _BETWEEN)
+_TO_BREAKS = {ord(c): "\n" for c in _BETWEEN}
 
 
 def normal(text: str) -> str:
-    """Letters and digits only, lower case, without markup, accents and doubly encoded characters."""
+    """The fields of a text, one per line, as letters and digits only: lower case, without markup, accents and doubly
+    encoded characters. Fields without any letter or digit are left out."""
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub("\n", text)
     if "&" in text:
         text = html.unescape(text)
+    if "," in text:
+        text = text.replace(", ", "\n")
     if text.isascii():
-        return text.encode().translate(_LOWER, _OTHER).decode()
-    if _DAMAGED.search(text):
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            pass
-    text = unicodedata.normalize("NFKD", text)
-    return "".join(filter(str.isalnum, text.lower()))
+        text = text.encode().translate(_FIELDS, _OTHER).decode()
+    else:
+        if _DAMAGED.search(text):
+            try:
+                text = text.encode("cp1252").decode("utf-8")
+            except UnicodeError:
+                pass
+        text = unicodedata.normalize("NFKD", text.translate(_TO_BREAKS))
+        text = "".join(c for c in text.lower() if c.isalnum() or c == "\n")
+    return "\n".join(filter(None, text.split("\n"))) if "\n" in text else text
 
 
 @lru_cache(1)
@@ -91,18 +106,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(factors, dtype=_U)
 
 
-def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: row, digest and length of each chunk; and a digest of each whole text."""
+def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: row, digest and length of each chunk. No chunk goes beyond a field."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = codes != 10
+    field = (np.cumsum(~inside) + row)[inside]  # a new number after each line break and for each text
+    codes, row = codes[inside], row[inside]
     n = len(codes)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(texts), _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     code = ((codes ^ (codes >> 16)) & 0xFFFF).astype(np.int64)
     roll, value = _tables()
-    row = np.repeat(np.arange(len(texts)), sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    at = np.arange(n) - np.repeat(first, sizes)
+    edge = np.concatenate([[True], field[1:] != field[:-1]])
+    first = np.flatnonzero(edge)
+    at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     g, h = roll[code], np.zeros(n, _U)
     for k in range(WINDOW):
         part = g[: n - k] * _U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
@@ -112,19 +131,21 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for k in range(1, RADIUS + 1):
         peak[k:] &= (h[k:] > h[:-k]) | (at[k:] < k)
         peak[:-k] &= (h[:-k] >= h[k:]) | (at[k:] < k)
-    starts = np.concatenate([[True], peak[:-1]]) | (at == 0)
-    begin = np.flatnonzero(starts)
+    begin = np.flatnonzero(np.concatenate([[True], peak[:-1]]) | edge)
     length = np.diff(np.append(begin, n))
-    inside = np.arange(n) - np.repeat(begin, length)
+    place = np.arange(n) - np.repeat(begin, length)
     power = _powers(0xD6E8FEB86659FD93, 1 << (int(length.max()) - 1).bit_length())
-    digest = mix(np.add.reduceat(value[code] * power[inside], begin) + length.astype(_U))
-    of = row[begin]
-    whole = np.zeros(len(texts), _U)
-    some = np.flatnonzero(sizes > 0)
-    order = np.arange(len(begin)) - np.repeat(np.searchsorted(of, some), np.diff(np.append(np.searchsorted(of, some), len(of))))
-    power = _powers(0x9FB21C651E98DF25, 1 << max(1, int(order.max() if len(order) else 1)).bit_length())
-    whole[some] = mix(np.add.reduceat(digest * power[order], np.searchsorted(of, some)))
-    return of, digest, length, whole
+    digest = mix(np.add.reduceat(value[code] * power[place], begin) + length.astype(_U))
+    return row[begin], digest, length
+
+
+def all_cuts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The row and version of each chunk, its digest and its length. Version 1 is the text without its fields, for texts
+    with short ones. Equal chunks of a version are one with the summed length."""
+    short = [i for i, t in enumerate(texts) if "\n" in t and len(t) < (t.count("\n") + 1) * (SHORT_FIELDS + 1)]
+    version, digest, length = combined(*chunks(texts + [texts[i].replace("\n", "") for i in short]))
+    of = np.concatenate([np.arange(len(texts)), np.array(short, np.int64)])
+    return of[version], version, digest, length
 
 
 def combined(row: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,25 +156,6 @@ def combined(row: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[n
     return row[new], digest[new], np.add.reduceat(length, new) if len(new) else length
 
 
-class _Batch:
-    """Columns id, task, side, label, at, text of a batch, with the class of copies of each row."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.ids = batch.column(0)
-        self.label = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-        at = batch.column(4)
-        self.timed = ~np.asarray(at.is_null())
-        self.at = np.where(self.timed, at.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
-        self.texts = [normal(t) for t in batch.column(5).to_pylist()]
-        self.row, self.digest, self.length, whole = chunks(self.texts)
-        task = np.fromiter((_name(t) for t in batch.column(1).to_pylist()), _U, batch.num_rows)
-        side = batch.column(2).to_numpy(zero_copy_only=False).astype(_U)
-        self.task = mix(task)
-        key = mix(whole + self.task * _U(3) + side)
-        key = mix(key ^ self.label.view(_U)) + np.where(self.timed, self.at, NO_TIME).astype(np.int64).view(_U)
-        self.klass = mix(key).view(np.int64)
-
-
 @lru_cache(4096)
 def _name(task: str) -> int:
     from zlib import crc32
@@ -164,15 +166,16 @@ def _name(task: str) -> int:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(i, ROWS_AT_ONCE)
+        step = max(1, min(ROWS_AT_ONCE, int(batch.num_rows * BYTES_AT_ONCE / max(batch.nbytes, 1))))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counters of the chunks of a partition, in blocks."""
     total = np.zeros(SLOTS, np.int32)
     for batch in _blocks(batches):
-        _, digest, _, _ = chunks([normal(t) for t in batch.column(0).to_pylist()])
+        _, _, digest, _ = all_cuts([normal(t) for t in batch.column(0).to_pylist()])
         np.add.at(total, (digest % _U(SLOTS)).astype(np.int64), 1)
     yield from _counters(enumerate(total.reshape(-1, SLOT_BLOCK)))
 
@@ -200,125 +203,160 @@ def chunk_counts(texts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _keys(batch: _Batch, rarity: np.ndarray, side: int, days: int) -> tuple[np.ndarray, np.ndarray]:
-    """The join keys of each row, with its class: the rarest chunks that make up more than 1 - SHARED of it."""
-    row, digest, length = combined(batch.row, batch.digest, batch.length)
-    if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    o = np.lexsort((digest, rarity[(digest % _U(SLOTS)).astype(np.int64)], row))
-    row, digest, length = row[o], digest[o], length[o]
+def _keys(batch: pa.RecordBatch, rarity: np.ndarray, days: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The join keys of each row of class, task, side, label, at, text, with its class and side: the rarest chunks that
+    make up more than 1 - SHARED of it. Rows of side 1 have keys for all buckets of label and time that may match."""
+    row, version, digest, length = all_cuts([normal(t) for t in batch.column(5).to_pylist()])
+    o = np.lexsort((digest, rarity[(digest % _U(SLOTS)).astype(np.int64)], version))
+    row, version, digest, length = row[o], version[o], digest[o], length[o]
     summed = np.cumsum(length)
-    edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    edge = np.flatnonzero(np.diff(version, prepend=-1))
     counts = np.diff(np.append(edge, len(row)))
     base = np.repeat(summed[edge] - length[edge], counts)
-    whole = np.repeat(np.add.reduceat(length, edge), counts)
+    whole = np.repeat(np.add.reduceat(length, edge), counts) if len(edge) else length
     keep = summed - length - base <= (1 - SHARED) * whole
     row, digest = row[keep], digest[keep]
 
-    scaled = np.sign(batch.label) * np.log1p(np.abs(batch.label))
+    task = mix(np.fromiter((_name(t) for t in batch.column(1).to_pylist()), _U, batch.num_rows))
+    side = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+    label = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+    scaled = np.sign(label) * np.log1p(np.abs(label))
+    timed = ~np.asarray(batch.column(4).is_null())
+    at = np.where(timed, batch.column(4).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
     span = (days + 1) * 8 * DAY
     variants = []
-    for dl in (-0.0102, 0.0102) if side else (0.0,):
-        for dt in (-days * DAY, days * DAY) if side else (0,):
-            lb = np.floor((scaled + dl) / LABEL_WIDTH).astype(np.int64)
-            tb = np.where(batch.timed, (batch.at + dt) // span, NO_TIME)
-            variants.append(mix(batch.task + lb.view(_U) * _U(0x9E3779B97F4A7C15) + tb.view(_U) * _U(0xC2B2AE3D27D4EB4F)))
-    keys, classes = [], []
+    for dl, dt in product((-0.0102, 0.0102), (-days * DAY, days * DAY)):
+        lb = np.floor((scaled + dl * side) / LABEL_WIDTH).astype(np.int64)
+        tb = np.where(timed, (at + dt * side) // span, NO_TIME)
+        variants.append(mix(task + lb.view(_U) * _U(0x9E3779B97F4A7C15) + tb.view(_U) * _U(0xC2B2AE3D27D4EB4F)))
+    klass = batch.column(0).to_numpy(zero_copy_only=False)
+    keys, of = [], []
     for i, v in enumerate(variants):
-        fresh = np.ones(len(row), bool)
+        fresh = np.ones(batch.num_rows, bool)
         for u in variants[:i]:
-            fresh &= (u != v)[row]
+            fresh &= u != v
+        fresh = fresh[row]
         keys.append((mix(digest[fresh] ^ v[row[fresh]]) & _U((1 << KEY_BITS) - 1)).view(np.int64))
-        classes.append(batch.klass[row[fresh]])
-    key, klass = np.concatenate(keys), np.concatenate(classes)
-    _, once = np.unique(mix(key.view(_U) + klass.view(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
-    return key[once], klass[once]
+        of.append(row[fresh])
+    key, of = np.concatenate(keys), np.concatenate(of)
+    _, once = np.unique(mix(key.view(_U) + klass[of].view(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
+    return key[once], klass[of[once]], side[of[once]]
 
 
 def overlap_fractions(a: list[str], b: list[str]) -> np.ndarray:
-    """Per pair of normalised texts the shared chunk length as a fraction of the longer text."""
-    ra, da, la = combined(*chunks(a)[:3])
-    rb, db, lb = combined(*chunks(b)[:3])
-    row, digest, length = np.concatenate([ra, rb]), np.concatenate([da, db]), np.concatenate([la, lb])
-    o = np.lexsort((digest, row))
-    row, digest, length = row[o], digest[o], length[o]
-    both = np.flatnonzero((row[1:] == row[:-1]) & (digest[1:] == digest[:-1]))
-    shared = np.bincount(row[both], np.minimum(length[both], length[both + 1]), len(a))
-    longer = np.array([max(len(x), len(y), 1) for x, y in zip(a, b)])
-    return shared / longer
+    """Per pair of normalised texts the shared chunk length as a fraction of the longer text; with fields or without."""
+    out = np.zeros(len(a))
+    for x, y in ((a, b), ([t.replace("\n", "") for t in a], [t.replace("\n", "") for t in b])):
+        ra, da, la = combined(*chunks(x))
+        rb, db, lb = combined(*chunks(y))
+        row, digest, length = np.concatenate([ra, rb]), np.concatenate([da, db]), np.concatenate([la, lb])
+        o = np.lexsort((digest, row))
+        row, digest, length = row[o], digest[o], length[o]
+        both = np.flatnonzero((row[1:] == row[:-1]) & (digest[1:] == digest[:-1]))
+        shared = np.bincount(row[both], np.minimum(length[both], length[both + 1]), len(a))
+        longer = np.array([max(len(s) - s.count("\n"), len(t) - t.count("\n"), 1) for s, t in zip(x, y)])
+        out = np.maximum(out, shared / longer)
+    return out
+
+
+def trigrams(text: str) -> Counter:
+    """The multiset of three characters within fields; a shorter field counts as it is."""
+    return Counter(s[i : i + 3] for s in text.split("\n") for i in range(max(1, len(s) - 2)))
 
 
 def trigram_similarity(a: str, b: str) -> float:
-    """Dice coefficient of the multisets of three characters."""
-    x, y = (Counter(s[i : i + 3] for i in range(max(1, len(s) - 2))) for s in (a, b))
-    return 2 * sum((x & y).values()) / (x.total() + y.total())
-
+    """Dice coefficient of the trigrams of two normalised texts. The order of fields plays no role.
 
-def trigram_bounds(a: list[str], b: list[str]) -> np.ndarray:
-    """Per pair what trigram_similarity is at most: trigrams that fall into the same of BINS count as equal."""
+    Texts of unlike numbers of fields are compared without them as well, and the larger value counts."""
+    x, y = trigrams(a), trigrams(b)
+    same = 2 * sum((x & y).values()) / (x.total() + y.total())
+    return same if a.count("\n") == b.count("\n") else max(same, trigram_similarity(a.replace("\n", ""), b.replace("\n", "")))
 
-    def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        inside = row[:-2] == row[2:]
-        at = row[:-2] * BINS + ((codes[:-2] * 131 + codes[1:-1]) * 131 + codes[2:]) % BINS
-        return np.bincount(at[inside], minlength=len(texts) * BINS).reshape(-1, BINS), sizes
 
-    (x, m), (y, n) = counted(a), counted(b)
-    bound = 2 * np.minimum(x, y).sum(1) / (np.maximum(1, m - 2) + np.maximum(1, n - 2))
-    return np.where((m < 3) | (n < 3), 1.0, bound)
+def trigram_bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """Per pair what trigram_similarity is at most: trigrams that fall into the same of BINS count as equal, and so do
+    all fields of less than three characters."""
+
+    def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(("\n\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
+        letter = codes != 10
+        inside = letter[:-2] & letter[1:-1] & letter[2:]
+        at = (row[:-2] * BINS + ((codes[:-2] * 131 + codes[1:-1]) * 131 + codes[2:]) % BINS)[inside]
+        begins = letter & ~np.concatenate([[False], letter[:-1]])
+        fields = np.bincount(row[begins], minlength=len(texts))
+        longer = np.bincount(row[:-2][begins[:-2] & inside], minlength=len(texts))
+        grams = np.bincount(row[:-2][inside], minlength=len(texts))
+        return np.bincount(at, minlength=len(texts) * BINS).reshape(-1, BINS), fields - longer, grams
+
+    (x, short_x, n), (y, short_y, m) = counted(a), counted(b)
+    equal = np.minimum(x, y).sum(1) + np.minimum(short_x, short_y)
+    return 2 * equal / np.maximum(1, n + m + short_x + short_y)
+
+
+def _alike(a: list[str], b: list[str]) -> list[int]:
+    """Which pairs are similar: those whose bound allows it are compared."""
+    possible = trigram_bounds(a, b) >= SIMILAR - 1e-9
+    unlike = [i for i in np.flatnonzero(~possible).tolist() if a[i].count("\n") != b[i].count("\n")]
+    if unlike:
+        possible[unlike] = trigram_bounds([a[i].replace("\n", "") for i in unlike], [b[i].replace("\n", "") for i in unlike]) >= SIMILAR - 1e-9
+    return [i for i in np.flatnonzero(possible).tolist() if trigram_similarity(a[i], b[i]) >= SIMILAR]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _blocks(batches):
         a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        sure = [i for i in np.flatnonzero(trigram_bounds(a, b) >= SIMILAR).tolist() if trigram_similarity(a[i], b[i]) >= SIMILAR] if len(a) else []
+        sure = _alike(a, b) if len(a) else []
         share = overlap_fractions([a[i] for i in sure], [b[i] for i in sure]) if sure else np.zeros(0)
         at = pa.array(sure, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(share)], names=["class_a", "class_b", "overlap"])
 
 
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _blocks(batches):
+        texts = pa.array([normal(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=batch.schema.names)
+
+
 def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes of copies across the two sides, and the members of these classes.
 
     rows: id BIGINT, task STRING, side INT (0 and 1), label DOUBLE, at TIMESTAMP_NTZ, text STRING. A pair needs the
     same task, labels at most 1 % (of the larger) or 0.01 apart, times at most `days` apart or both NULL, and texts
-    whose trigrams agree by SIMILAR; such pairs are sure to be found if chunks overlap by SHARED. Rows without task, text or numeric label, and
-    texts without any letter or digit, are no case. Redelivered rows are members of the same class.
+    whose trigrams agree by SIMILAR; such pairs are sure to be found if chunks overlap by SHARED. Rows without task,
+    text or numeric label, and texts without any letter or digit, are no case. Redelivered rows are members of the
+    same class.
 
-    Result: (class_a, class_b, overlap) with class_a of side 0, and (class, id, side).
+    Result: (class_a, class_b, overlap) with class_a of side 0, and (class, id, side). A class is named by two numbers.
+    Copies are joined once per class, so their number has no effect on the work; a chunk that stands in very many
+    classes is a large key of a join that adaptive execution can split on either side.
     """
     spark = rows.sparkSession
     usable = rows.filter(F.col("text").isNotNull() & F.col("task").isNotNull() & F.col("label").isNotNull() & ~F.isnan("label") & F.col("side").isNotNull())
-    usable = usable.select("id", "task", "side", "label", "at", "text")
+    what = ["task", "side", "label", "at", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))]
+    usable = usable.select("id", "task", "side", "label", "at", "text", F.xxhash64(*what).alias("class"), F.xxhash64(F.lit(1), *what).alias("mark"))
     shared = spark.sparkContext.broadcast(chunk_counts(usable.select("text")))
 
-    def keyed(side: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _blocks(batches):
-                key, klass = _keys(_Batch(batch), shared.value, side, days)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(klass)], names=["key", "class"])
-
-        rows = usable.filter(F.col("side") == side).mapInArrow(run, "key bigint, class bigint")
-        return rows.repartition("key").dropDuplicates()  # copies from many blocks: once per class, in the join's own partitions
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            key, klass, side = _keys(batch, shared.value, days)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(klass), pa.array(side == 1)], names=["key", "class", "held_out"])
 
-    left, right = keyed(0).withColumnRenamed("class", "class_a"), keyed(1).withColumnRenamed("class", "class_b")
+    keys = usable.select("class", "task", "side", "label", "at", "text").mapInArrow(keyed, "key bigint, class bigint, held_out boolean")
+    once = keys.distinct()  # copies from many blocks, spread by key and class
+    left, right = (once.filter(F.col("held_out") == held).select("key", F.col("class").alias(f"class_{s}")) for s, held in (("a", False), ("b", True)))
     pairs = materialize(left.join(right, "key").select("class_a", "class_b").distinct(), "overlap-candidates")
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _blocks(batches):
-            x = _Batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(x.klass), *(batch.column(i) for i in (0, 2, 3, 4)), pa.array(x.texts)], names=["class", "id", "side", "label", "at", "text"])
-
-    wanted = broadcast_if_small(pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct(), 2_000_000)
-    all_rows = usable.mapInArrow(classed, "class bigint, id bigint, side int, label double, at timestamp_ntz, text string")
-    members = materialize(all_rows.join(wanted, "class", "left_semi").dropDuplicates(["class", "id"]), "overlap-members")
-    one = members.groupBy("class").agg(F.min(F.struct("id", "label", "at", "text")).alias("v"))
-    a, b = (one.select(F.col("class").alias(f"class_{s}"), F.col("v.label").alias(f"label_{s}"), F.col("v.at").alias(f"at_{s}"), F.col("v.text").alias(f"text_{s}")) for s in "ab")
+    wanted = broadcast_if_small(pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct(), MOST_BROADCAST)
+    kind = F.struct("class", "mark").alias("class")
+    members = materialize(usable.join(wanted, "class", "left_semi").select(kind, "id", "side", "task", "label", "at", "text"), "overlap-members")
+    one = members.groupBy("class").agg(F.min(F.struct("id", "task", "label", "at", "text")).alias("v")).select("class", "v.task", "v.label", "v.at", "v.text")
+    one = materialize(one.mapInArrow(_normalised, one.schema), "overlap-texts")
+    a, b = (one.select(F.col("class.class").alias(f"class_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in one.columns if c != "class"), F.col("class").alias(f"of_{s}")) for s in "ab")
     apart = F.abs(F.col("label_a") - F.col("label_b"))
     near = apart <= F.greatest(F.lit(0.01), 0.01 * F.greatest(F.abs("label_a"), F.abs("label_b"))) + 1e-9
     gap = F.make_dt_interval(F.lit(days))
     timely = (F.col("at_a").isNull() & F.col("at_b").isNull()) | ((F.col("at_a") <= F.col("at_b") + gap) & (F.col("at_b") <= F.col("at_a") + gap))
-    both = pairs.join(a, "class_a").join(b, "class_b").filter(near & timely).select("class_a", "class_b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "class_a bigint, class_b bigint, overlap double"), members.select("class", "id", "side")
+    both = pairs.join(a, "class_a").join(b, "class_b").filter((F.col("task_a") == F.col("task_b")) & near & timely)
+    found = both.select(F.col("of_a").alias("class_a"), F.col("of_b").alias("class_b"), "text_a", "text_b")
+    return found.mapInArrow(_verified, found.select("class_a", "class_b", F.lit(0.0).alias("overlap")).schema), members.select("class", "id", "side").distinct()
