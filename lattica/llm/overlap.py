@@ -5,15 +5,19 @@ play no role. It is cut between fields and, inside a field, where a rolling hash
 passages give equal chunks wherever they stand, so the order of fields plays no role either. Two records overlap by
 the summed length of the chunks that they share, as a fraction of the longer one.
 
-Candidates come from an equi-join on chunk digests that is exact for its threshold t: all chunks are put in one global
-order, rarest first; two records that share t of their length share a chunk within the rarest chunks that make up
-1 - t of either. Only these are joined, so passages that stand in very many records are never paired by themselves,
-and nothing is capped. The rarity comes from counters of all chunks of all records in a fixed number of slots. Label
-and time enter the join key as coarse buckets. What counts in the end is an exact comparison of trigrams, since one
-changed letter costs a whole chunk: records that agree by 85 % may share a quarter of their length in chunks only.
+Rows are brought together by task and by coarse buckets of label and time, text and all, so candidates are found and
+compared where they lie and no list of candidates is ever written. Within such a cell candidates share a chunk, which is
+exact for its threshold t: all chunks are put in one order, rarest first; two records that share t of their length share
+a chunk within the rarest chunks that make up 1 - t of either. Only these are looked up, so passages that stand in very
+many records are never paired by themselves, and nothing is capped. What counts in the end is an exact comparison of
+trigrams, since one changed letter costs a whole chunk: records that agree by 85 % may share a quarter of their length
+in chunks only.
+
+A bucket with very many rows, as of a task without times and with few labels, is laid out as a grid: each part of the
+one side meets each part of the other in a cell of its own, so tasks stay small whatever the buckets' sizes.
 
 Records with the same task, split side, label, time and letters form one class of copies, told by 128 bits of hash,
-which is joined once; pairs of rows are only made from pairs of classes that have passed the exact check.
+which is compared once; pairs of rows are only made from pairs of classes that have passed the exact check.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.skew import HeavyKeys
 from lattica.session import broadcast_if_small, materialize
 
 WINDOW = 3
@@ -43,11 +47,16 @@ SIMILAR = 0.8
 #: may be a way of writing.
 SHORT_FIELDS = 10
 BINS = 509
-SLOTS = 1 << 20
-SLOT_BLOCK = 1 << 13
+#: Bits of a text's trigrams, by which most candidates are told apart.
+BITS = 512
 ROWS_AT_ONCE = 1_000
 BYTES_AT_ONCE = 4 << 20
-KEY_BITS = 44
+#: Small cells are compared together, up to so many rows, and so many candidates at a time.
+ROWS_TOGETHER = 20_000
+PAIRS_AT_ONCE = 1 << 17
+#: Buckets with more rows are laid out as a grid of cells with about a quarter of the bucket's classes on a side, between these bounds.
+BUCKET_ROWS = 100_000
+CELL_CLASSES = (25_000, 100_000)
 LABEL_WIDTH = 0.1
 DAY = 86_400 * 1_000_000
 NO_TIME = -(1 << 40)
@@ -156,58 +165,10 @@ def combined(row: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[n
     return row[new], digest[new], np.add.reduceat(length, new) if len(new) else length
 
 
-@lru_cache(4096)
-def _name(task: str) -> int:
-    from zlib import crc32
-
-    raw = task.encode()
-    return crc32(raw) << 31 ^ crc32(raw[::-1])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step = max(1, min(ROWS_AT_ONCE, int(batch.num_rows * BYTES_AT_ONCE / max(batch.nbytes, 1))))
-        for i in range(0, batch.num_rows, step):
-            yield batch.slice(i, step)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of the chunks of a partition, in blocks."""
-    total = np.zeros(SLOTS, np.int32)
-    for batch in _blocks(batches):
-        _, _, digest, _ = all_cuts([normal(t) for t in batch.column(0).to_pylist()])
-        np.add.at(total, (digest % _U(SLOTS)).astype(np.int64), 1)
-    yield from _counters(enumerate(total.reshape(-1, SLOT_BLOCK)))
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(raw, np.int32)
-            total[block] = np.minimum(total[block].astype(np.int64) + part, 2**31 - 1).astype(np.int32) if block in total else part
-    yield from _counters(sorted(total.items()))
-
-
-def _counters(blocks) -> Iterator[pa.RecordBatch]:
-    for block, part in blocks:
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()])], names=["block", "counters"])
-
-
-def chunk_counts(texts: DataFrame) -> np.ndarray:
-    """How many chunks of all records fall into each of SLOTS slots; of a fixed size, whatever the data."""
-    blocks = texts.mapInArrow(_sketch, "block int, counters binary").repartition("block").mapInArrow(_summed, "block int, counters binary")
-    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int32)
-    for r in blocks.collect():
-        out[r["block"]] = np.frombuffer(r["counters"], np.int32)
-    return out.reshape(-1)
-
-
-def _keys(batch: pa.RecordBatch, rarity: np.ndarray, days: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The join keys of each row of class, task, side, label, at, text, with its class and side: the rarest chunks that
-    make up more than 1 - SHARED of it. Rows of side 1 have keys for all buckets of label and time that may match."""
-    row, version, digest, length = all_cuts([normal(t) for t in batch.column(5).to_pylist()])
-    o = np.lexsort((digest, rarity[(digest % _U(SLOTS)).astype(np.int64)], version))
+def rarest(row: np.ndarray, version: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and digest of the rarest chunks that make up more than 1 - SHARED of each version of a text."""
+    _, at, times = np.unique(digest, return_inverse=True, return_counts=True)
+    o = np.lexsort((digest, times[at], version))
     row, version, digest, length = row[o], version[o], digest[o], length[o]
     summed = np.cumsum(length)
     edge = np.flatnonzero(np.diff(version, prepend=-1))
@@ -215,32 +176,7 @@ def _keys(batch: pa.RecordBatch, rarity: np.ndarray, days: int) -> tuple[np.ndar
     base = np.repeat(summed[edge] - length[edge], counts)
     whole = np.repeat(np.add.reduceat(length, edge), counts) if len(edge) else length
     keep = summed - length - base <= (1 - SHARED) * whole
-    row, digest = row[keep], digest[keep]
-
-    task = mix(np.fromiter((_name(t) for t in batch.column(1).to_pylist()), _U, batch.num_rows))
-    side = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-    label = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-    scaled = np.sign(label) * np.log1p(np.abs(label))
-    timed = ~np.asarray(batch.column(4).is_null())
-    at = np.where(timed, batch.column(4).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), 0)
-    span = (days + 1) * 8 * DAY
-    variants = []
-    for dl, dt in product((-0.0102, 0.0102), (-days * DAY, days * DAY)):
-        lb = np.floor((scaled + dl * side) / LABEL_WIDTH).astype(np.int64)
-        tb = np.where(timed, (at + dt * side) // span, NO_TIME)
-        variants.append(mix(task + lb.view(_U) * _U(0x9E3779B97F4A7C15) + tb.view(_U) * _U(0xC2B2AE3D27D4EB4F)))
-    klass = batch.column(0).to_numpy(zero_copy_only=False)
-    keys, of = [], []
-    for i, v in enumerate(variants):
-        fresh = np.ones(batch.num_rows, bool)
-        for u in variants[:i]:
-            fresh &= u != v
-        fresh = fresh[row]
-        keys.append((mix(digest[fresh] ^ v[row[fresh]]) & _U((1 << KEY_BITS) - 1)).view(np.int64))
-        of.append(row[fresh])
-    key, of = np.concatenate(keys), np.concatenate(of)
-    _, once = np.unique(mix(key.view(_U) + klass[of].view(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
-    return key[once], klass[of[once]], side[of[once]]
+    return row[keep], digest[keep]
 
 
 def overlap_fractions(a: list[str], b: list[str]) -> np.ndarray:
@@ -303,19 +239,167 @@ def _alike(a: list[str], b: list[str]) -> list[int]:
     return [i for i in np.flatnonzero(possible).tolist() if trigram_similarity(a[i], b[i]) >= SIMILAR]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _blocks(batches):
-        a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        sure = _alike(a, b) if len(a) else []
-        share = overlap_fractions([a[i] for i in sure], [b[i] for i in sure]) if sure else np.zeros(0)
-        at = pa.array(sure, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(share)], names=["class_a", "class_b", "overlap"])
-
-
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _blocks(batches):
-        texts = pa.array([normal(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=batch.schema.names)
+def _steps(sizes: np.ndarray) -> Iterator[range]:
+    """Ranges of at most ROWS_AT_ONCE texts of these lengths, and of BYTES_AT_ONCE letters unless a single text has more."""
+    begin = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (i - begin >= ROWS_AT_ONCE or total + n > BYTES_AT_ONCE):
+            yield range(begin, i)
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield range(begin, len(sizes))
+
+
+def trigram_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the set of the trigrams of its fields as BITS bits, and the number of what `trigrams` counts. What is
+    shorter than a trigram has no bit."""
+    bits, n = np.zeros((len(texts), BITS // 64), _U), np.zeros(len(texts), np.int64)
+    for part in _steps(np.fromiter(map(len, texts), np.int64, len(texts))):
+        codes = np.frombuffer(("\n\n".join(texts[part.start : part.stop]) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(part)), np.fromiter((len(texts[i]) + 2 for i in part), np.int64, len(part)))
+        letter = codes != 10
+        inside = letter[:-2] & letter[1:-1] & letter[2:]
+        begins = letter[:-2] & ~np.concatenate([[False], letter[:-3]])
+        flags = np.zeros((len(part), BITS), bool)
+        flags.reshape(-1)[(row[:-2] * BITS + ((codes[:-2] * 131 + codes[1:-1]) * 131 + codes[2:]) % BITS)[inside]] = True
+        bits[part.start : part.stop] = np.packbits(flags, axis=1).view(_U)
+        n[part.start : part.stop] = np.bincount(row[:-2][inside | begins], minlength=len(part))
+    return bits, n
+
+
+def _may_be_alike(bits: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each bit that only one of two texts has stands for a trigram that the other one lacks."""
+    equal_a, equal_b = n[a], n[b]
+    total = equal_a + equal_b
+    for word in bits.T:
+        x, y = word[a], word[b]
+        equal_a -= np.bitwise_count(x & ~y)
+        equal_b -= np.bitwise_count(y & ~x)
+    return 2 * np.minimum(equal_a, equal_b) >= (SIMILAR - 1e-9) * total
+
+
+def _meetings(key: np.ndarray, row: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of side 0 and of side 1 with equal keys, about PAIRS_AT_ONCE at a time; all those of a row of side 1 come at once."""
+    left = side[row] == 0
+    o = np.argsort(key[left])
+    left_key, left_row = key[left][o], row[left][o]
+    o = np.argsort(row[~left], kind="stable")
+    right_key, right_row = key[~left][o], row[~left][o]
+    begin = np.searchsorted(left_key, right_key, "left")
+    n = np.searchsorted(left_key, right_key, "right") - begin
+    begin, n, right_row = begin[n > 0], n[n > 0], right_row[n > 0]
+    if not len(n):
+        return
+    before = np.cumsum(n) - n
+    edge = np.flatnonzero(np.diff(right_row, prepend=-1))
+    cuts = edge[np.flatnonzero(np.diff(before[edge] // PAIRS_AT_ONCE, prepend=-1))]
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)]):
+        at = np.repeat(begin[i:j] - before[i:j] + before[i], n[i:j]) + np.arange(n[i:j].sum())
+        yield left_row[at], np.repeat(right_row[i:j], n[i:j])
+
+
+PAIR = "class_a struct<class: bigint, mark: bigint>, class_b struct<class: bigint, mark: bigint>, overlap double"
+
+
+def _compared(rows: pa.Table, days: int) -> Iterator[pa.RecordBatch]:
+    """The similar pairs of whole cells. rows: cell, class, mark, id, task, side, label, at, text."""
+    numbers = lambda c, empty: rows.column(c).combine_chunks().fill_null(empty).to_numpy(zero_copy_only=False)
+    cell, klass, mark = (numbers(c, 0) for c in ("cell", "class", "mark"))
+    o = np.lexsort((numbers("id", -(1 << 63)), mark, klass, cell))
+    same = (cell[o][1:] == cell[o][:-1]) & (klass[o][1:] == klass[o][:-1]) & (mark[o][1:] == mark[o][:-1])
+    one = o[np.concatenate([[True], ~same])]
+    texts = [normal(t) for t in rows.column("text").take(pa.array(one)).to_pylist()]
+    full = [i for i, t in enumerate(texts) if t]
+    texts, one = [texts[i] for i in full], one[full]
+    if not texts:
+        return
+    rows = rows.take(pa.array(one))
+    cell, klass, mark = cell[one], klass[one], mark[one]
+    task = rows.column("task").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    side, label = (rows.column(c).to_numpy() for c in ("side", "label"))
+    timed = rows.column("at").is_valid().to_numpy()
+    at = rows.column("at").cast(pa.int64()).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+    size, lines = (np.fromiter(map(f, texts), np.int64, len(texts)) for f in (len, lambda t: t.count("\n")))
+
+    cuts: list[tuple[np.ndarray, ...]] = []
+    versions = 0
+    for part in _steps(size):
+        row, version, digest, length = all_cuts(texts[part.start : part.stop])
+        cuts.append((row + part.start, version + versions, digest, length))
+        versions += 2 * len(part)
+    row, digest = rarest(*(np.concatenate(x) for x in zip(*cuts)))
+    bits, n = trigram_bits(texts)
+    bits = np.asfortranarray(bits)  # by word
+    for a, b in _meetings(mix(digest ^ mix(cell.view(_U))[row]), row, side):
+        apart = np.abs(label[a] - label[b])
+        near = apart <= np.maximum(0.01, 0.01 * np.maximum(np.abs(label[a]), np.abs(label[b]))) + 1e-9
+        timely = (timed[a] == timed[b]) & (np.abs(at[a] - at[b]) <= days * DAY)
+        met = near & timely & (task[a] == task[b]) & (cell[a] == cell[b])
+        a, b = a[met], b[met]
+        possible = _may_be_alike(bits, n, a, b)
+        unlike = np.flatnonzero(~possible & (lines[a] != lines[b]))
+        if len(unlike):
+            of, place = np.unique(np.concatenate([a[unlike], b[unlike]]), return_inverse=True)
+            possible[unlike] = _may_be_alike(*trigram_bits([texts[i].replace("\n", "") for i in of.tolist()]), *np.split(place, 2))
+        a, b = np.divmod(np.unique(a[possible] * len(texts) + b[possible]), len(texts))
+        for part in _steps(size[a] + size[b]):
+            x, y = a[part.start : part.stop], b[part.start : part.stop]
+            s, t = [texts[k] for k in x.tolist()], [texts[k] for k in y.tolist()]
+            sure = _alike(s, t)
+            if sure:
+                share = overlap_fractions([s[k] for k in sure], [t[k] for k in sure])
+                kinds = [pa.StructArray.from_arrays([pa.array(klass[z[sure]]), pa.array(mark[z[sure]])], names=["class", "mark"]) for z in (x, y)]
+                yield pa.RecordBatch.from_arrays([*kinds, pa.array(share)], names=["class_a", "class_b", "overlap"])
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell as tables of whole cells: one with many rows, or several together."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column(0).to_numpy()
+        begins = np.flatnonzero(np.diff(cell, prepend=held[-1].column(0)[-1].as_py() if held else cell[0])).tolist()
+        at = 0
+        for i in begins:
+            if n + i - at >= ROWS_TOGETHER:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, n, at = [], 0, i
+        held.append(batch.slice(at))
+        n += batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _buckets(days: int):
+    """The hashed buckets of task, label and time of a row. Rows of side 1 have all that may match."""
+    scaled = F.signum("label") * F.log1p(F.abs("label"))
+    day, span = F.unix_date(F.to_date("at")), (days + 1) * 8
+    hashes = []
+    for dl, dt in ((-0.0102, -days), (-0.0102, days), (0.0102, -days), (0.0102, days)):
+        label = F.floor((scaled + F.col("side") * dl) / LABEL_WIDTH)
+        hashes.append(F.xxhash64("task", label, F.coalesce(F.floor((day + F.col("side") * dt) / span), F.lit(NO_TIME))))
+    return F.array_distinct(F.array(*hashes))
+
+
+def _gridded(rows: DataFrame) -> DataFrame:
+    """The classes of large buckets, once for each part of the other side that they are to meet."""
+    classes = lambda side: F.approx_count_distinct(F.when(F.col("side") == side, F.col("class")))
+    sizes = rows.groupBy("bucket").agg(classes(0).alias("n_0"), classes(1).alias("n_1")).collect()
+    parts = []
+    for bucket, *n in sizes:
+        cell = min(max(CELL_CLASSES[0], sum(n) // 4), CELL_CLASSES[1])
+        parts.append((bucket, *(max(1, -(-k // cell)) for k in n)))
+    grid = F.broadcast(rows.sparkSession.createDataFrame(parts, "bucket bigint, parts_0 int, parts_1 int"))
+    v = F.struct("id", "task", "side", "label", "at", "text")
+    one = rows.groupBy("bucket", "class", "mark").agg(F.min(v).alias("v")).select("bucket", "class", "mark", "v.*").join(grid, "bucket")
+    own = F.pmod("class", F.when(F.col("side") == 0, F.col("parts_0")).otherwise(F.col("parts_1"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts_1")).otherwise(F.col("parts_0")) - 1))
+    laid = one.select("*", own.alias("own"), met.alias("met"))
+    place = F.when(F.col("side") == 0, F.xxhash64("bucket", "own", "met")).otherwise(F.xxhash64("bucket", "met", "own"))
+    return laid.select(place.alias("cell"), "class", "mark", "id", "task", "side", "label", "at", "text")
 
 
 def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -328,35 +412,24 @@ def near_copies(rows: DataFrame, days: int = 3) -> tuple[DataFrame, DataFrame]:
     same class.
 
     Result: (class_a, class_b, overlap) with class_a of side 0, and (class, id, side). A class is named by two numbers.
-    Copies are joined once per class, so their number has no effect on the work; a chunk that stands in very many
-    classes is a large key of a join that adaptive execution can split on either side.
+    Copies are compared once per class, so their number has no effect on the work.
     """
-    spark = rows.sparkSession
     usable = rows.filter(F.col("text").isNotNull() & F.col("task").isNotNull() & F.col("label").isNotNull() & ~F.isnan("label") & F.col("side").isNotNull())
     what = ["task", "side", "label", "at", F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))]
     usable = usable.select("id", "task", "side", "label", "at", "text", F.xxhash64(*what).alias("class"), F.xxhash64(F.lit(1), *what).alias("mark"))
-    shared = spark.sparkContext.broadcast(chunk_counts(usable.select("text")))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _blocks(batches):
-            key, klass, side = _keys(batch, shared.value, days)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(klass), pa.array(side == 1)], names=["key", "class", "held_out"])
-
-    keys = usable.select("class", "task", "side", "label", "at", "text").mapInArrow(keyed, "key bigint, class bigint, held_out boolean")
-    once = keys.distinct()  # copies from many blocks, spread by key and class
-    left, right = (once.filter(F.col("held_out") == held).select("key", F.col("class").alias(f"class_{s}")) for s, held in (("a", False), ("b", True)))
-    pairs = materialize(left.join(right, "key").select("class_a", "class_b").distinct(), "overlap-candidates")
-
-    wanted = broadcast_if_small(pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct(), MOST_BROADCAST)
+    bucketed = usable.select("*", F.explode(_buckets(days)).alias("bucket"))
+    large = HeavyKeys(bucketed, ["bucket"], BUCKET_ROWS)
+    cells = bucketed.withColumnRenamed("bucket", "cell").select("cell", "class", "mark", "id", "task", "side", "label", "at", "text")
+    if large.rows:
+        names = F.broadcast(large.frame().select("bucket"))
+        small = cells.join(names.withColumnRenamed("bucket", "cell"), "cell", "left_anti")
+        cells = small.unionByName(_gridded(bucketed.join(names, "bucket", "left_semi")))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches):
+            yield from _compared(table, days)
+
+    pairs = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, PAIR), "overlap-pairs")
     kind = F.struct("class", "mark").alias("class")
-    members = materialize(usable.join(wanted, "class", "left_semi").select(kind, "id", "side", "task", "label", "at", "text"), "overlap-members")
-    one = members.groupBy("class").agg(F.min(F.struct("id", "task", "label", "at", "text")).alias("v")).select("class", "v.task", "v.label", "v.at", "v.text")
-    one = materialize(one.mapInArrow(_normalised, one.schema), "overlap-texts")
-    a, b = (one.select(F.col("class.class").alias(f"class_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in one.columns if c != "class"), F.col("class").alias(f"of_{s}")) for s in "ab")
-    apart = F.abs(F.col("label_a") - F.col("label_b"))
-    near = apart <= F.greatest(F.lit(0.01), 0.01 * F.greatest(F.abs("label_a"), F.abs("label_b"))) + 1e-9
-    gap = F.make_dt_interval(F.lit(days))
-    timely = (F.col("at_a").isNull() & F.col("at_b").isNull()) | ((F.col("at_a") <= F.col("at_b") + gap) & (F.col("at_b") <= F.col("at_a") + gap))
-    both = pairs.join(a, "class_a").join(b, "class_b").filter((F.col("task_a") == F.col("task_b")) & near & timely)
-    found = both.select(F.col("of_a").alias("class_a"), F.col("of_b").alias("class_b"), "text_a", "text_b")
-    return found.mapInArrow(_verified, found.select("class_a", "class_b", F.lit(0.0).alias("overlap")).schema), members.select("class", "id", "side").distinct()
+    wanted = broadcast_if_small(pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct(), MOST_BROADCAST)
+    return pairs, materialize(usable.select(kind, "id", "side").join(wanted, "class", "left_semi").distinct(), "overlap-members")

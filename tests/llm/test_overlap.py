@@ -2,12 +2,14 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from lattica.llm import overlap as O
 from lattica.llm import queries
+from lattica.session import work_dir
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "id bigint, task string, side int, label double, at timestamp_ntz, text string"
@@ -153,6 +155,41 @@ def test_copies_are_one_class(spark):
     assert pairs.count() == 1 and members.count() == 300
 
 
+def test_large_buckets(spark, monkeypatch):
+    """A bucket of one task, label and time that is laid out as a grid gives the pairs that it gives as a whole."""
+    rng = random.Random(12)
+    rows = [(i, "x", 0, 1.0, None, text(rng)) for i in range(300)]
+    rows += [(1000 + i, "x", 1, 1.0, None, rows[i % 300][5].replace("a", "á" if i % 3 else "e", 1)) for i in range(400)]
+    want = found(spark, rows)
+    assert want == brute(rows) and len(want) >= 400
+    monkeypatch.setattr(O, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(O, "CELL_CLASSES", (40, 60))
+    assert found(spark, rows) == want
+
+
+def test_candidates_are_not_written(spark):
+    """Texts that share words but aren't alike make 100 times more candidates than rows."""
+    rng = random.Random(13)
+    rows = [(i, "x", i % 2, 1.0, None, text(rng)) for i in range(2000)]
+    written = lambda: sum(p.stat().st_size for p in Path(work_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = written()
+    assert found(spark, rows) == set()
+    assert written() - before < 100_000
+
+
+def test_trigram_bits_leave_out_no_pair():
+    rng = random.Random(10)
+    texts = [O.normal("; ".join(text(rng, rng.randrange(1, 4)) for _ in range(rng.randrange(1, 4)))) for _ in range(40)]
+    texts += [t[k:] for t in texts for k in (1, 4)] + ["a", "ab", "abc", "ab\nabc", "ab\ncd", "abcd\nx"]
+    bits, n = O.trigram_bits(texts)
+    assert n.tolist() == [O.trigrams(t).total() for t in texts]
+    a, b = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    possible = O._may_be_alike(bits, n, a, b)
+    dice = lambda x, y: 2 * (x & y).total() / (x.total() + y.total())
+    alike = np.array([dice(O.trigrams(texts[i]), O.trigrams(texts[j])) >= O.SIMILAR for i, j in zip(a, b)])
+    assert alike.sum() > 2 * len(texts) and possible[alike].all() and possible.sum() < 2 * alike.sum()
+
+
 def test_nothing(spark):
     assert found(spark, [(1, "x", 0, 1.0, None, None)]) == set()
 
