@@ -11,6 +11,7 @@ from lattica.operators import edges as E
 from lattica.operators import expand as X
 from lattica.operators import sampling as S
 from lattica.operators.asof import seconds
+from lattica.operators.meetings import seeds_and_others
 from lattica.operators.ordering import hash_order, running_sums
 from lattica.session import broadcast_if_small, table
 
@@ -282,13 +283,9 @@ def neighbor_slots(spark: SparkSession, d: str) -> DataFrame:
 )
 def seed_neighbor_split(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours (customers that ordered at the same time) which are seeds themselves, and the others."""
-    seeds = table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("id"))
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("day"))
-    mine = o.join(seeds, "id", "left_semi").select(F.col("id").alias("src_id"), "day")
-    met = mine.join(o.withColumnRenamed("id", "dst_id"), "day").filter(F.col("src_id") != F.col("dst_id")).select("src_id", "dst_id").distinct()
-    known = seeds.select(F.col("id").alias("dst_id")).withColumn("is_seed", F.lit(True))
-    marked = met.join(known, "dst_id", "left")
-    return marked.groupBy("src_id").agg(F.count("is_seed").alias("n_seeds"), F.count_if(F.col("is_seed").isNull()).alias("n_others"))
+    seeds = table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("src_id"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("src_id"), F.col("o_orderdate").alias("day"))
+    return seeds_and_others(o, seeds, "src_id", "day")
 
 
 # Few-shot history

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import edges as E
 from lattica.operators import expand as X
+from lattica.operators import meetings as M
 from lattica.operators import sampling as S
 from lattica.operators.ordering import hash_order, hash_rank, running_sums
 from lattica.plans import graph_queries
@@ -142,3 +143,30 @@ def test_graph_khop2_takes_all_splits_and_tasks_without_time(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r["entity"], r["depth"]): (r["n_instances"], r["n_seeds"]) for r in graph_queries.graph_khop2(spark, str(tmp_path)).collect()}
     assert got == {("a", 0): (5, 5), ("b", 1): (1 + 2 + 2 + 2, 4), ("a", 2): (2, 2)}
+
+
+@pytest.mark.parametrize("parts", [None, (7, 7)])
+def test_seeds_and_others_equal_all_pairs(spark, monkeypatch, parts):
+    if parts:
+        monkeypatch.setattr(M, "MET_ROWS", parts)
+        monkeypatch.setattr(M, "MEETING_ROWS", parts)
+    rows = [(i * 7 % 40, T0 + timedelta(i * i % 23)) for i in range(90)] + [(50, T0 + timedelta(99)), (51, None), (None, T0), (0, T0), (0, T0)]
+    chosen = {*range(0, 40, 3), 50, 51, 77}
+    got = M.seeds_and_others(spark.createDataFrame(rows, "k bigint, t timestamp_ntz"), spark.createDataFrame([(k,) for k in (*chosen, 3, None)], "k bigint"), "k", "t")
+    met = {(a, b) for a, s in rows for b, t in rows if a in chosen and b is not None and s is not None and s == t and a != b}
+    want = {(a, sum(x == a and y in chosen for x, y in met), sum(x == a and y not in chosen for x, y in met)) for a, _ in met}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 14 and got.columns == ["k", "n_seeds", "n_others"]
+
+
+def test_seed_neighbors_are_not_listed(spark, tmp_path):
+    """3,000 customers on two days, a fifth of them seeds, have 1.8 million pairs, which aren't shuffled."""
+    segment = F.when(F.col("id") % 5 == 0, "BUILDING").otherwise("OTHER")
+    spark.range(3000).select(F.col("id").alias("c_custkey"), segment.alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    day = F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") / 3000).cast("int"))
+    spark.range(6000).select((F.col("id") % 3000).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    shuffled = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    found = graph_queries.seed_neighbor_split(spark, str(tmp_path)).collect()
+    assert {tuple(r)[1:] for r in found} == {(599, 2400)} and len(found) == 600
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < shuffled() - before < 500_000
