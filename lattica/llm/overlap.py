@@ -165,18 +165,25 @@ def combined(row: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[n
     return row[new], digest[new], np.add.reduceat(length, new) if len(new) else length
 
 
-def rarest(row: np.ndarray, version: np.ndarray, digest: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and digest of the rarest chunks that make up more than 1 - SHARED of each version of a text."""
-    _, at, times = np.unique(digest, return_inverse=True, return_counts=True)
-    o = np.lexsort((digest, times[at], version))
-    row, version, digest, length = row[o], version[o], digest[o], length[o]
-    summed = np.cumsum(length)
-    edge = np.flatnonzero(np.diff(version, prepend=-1))
-    counts = np.diff(np.append(edge, len(row)))
-    base = np.repeat(summed[edge] - length[edge], counts)
-    whole = np.repeat(np.add.reduceat(length, edge), counts) if len(edge) else length
-    keep = summed - length - base <= (1 - SHARED) * whole
-    return row[keep], digest[keep]
+def rarest(cuts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and digest of the rarest chunks that make up more than 1 - SHARED of each version of a text.
+
+    cuts: what all_cuts gives for some texts at a time. They are put in order one by one, which saves memory.
+    """
+    known, times = np.unique(np.concatenate([c[2] for c in cuts]), return_counts=True)
+    kept = []
+    for row, version, digest, length in cuts:
+        o = np.lexsort((digest, times[np.searchsorted(known, digest)], version))
+        row, version, digest, length = row[o], version[o], digest[o], length[o]
+        summed = np.cumsum(length)
+        edge = np.flatnonzero(np.diff(version, prepend=-1))
+        counts = np.diff(np.append(edge, len(row)))
+        base = np.repeat(summed[edge] - length[edge], counts)
+        whole = np.repeat(np.add.reduceat(length, edge), counts) if len(edge) else length
+        keep = summed - length - base <= (1 - SHARED) * whole
+        kept.append((row[keep], digest[keep]))
+    row, digest = (np.concatenate(x) for x in zip(*kept))
+    return row, digest
 
 
 def overlap_fractions(a: list[str], b: list[str]) -> np.ndarray:
@@ -314,7 +321,7 @@ def _compared(rows: pa.Table, days: int) -> Iterator[pa.RecordBatch]:
     texts, one = [texts[i] for i in full], one[full]
     if not texts:
         return
-    rows = rows.take(pa.array(one))
+    rows = rows.drop_columns("text").take(pa.array(one))
     cell, klass, mark = cell[one], klass[one], mark[one]
     task = rows.column("task").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
     side, label = (rows.column(c).to_numpy() for c in ("side", "label"))
@@ -323,12 +330,11 @@ def _compared(rows: pa.Table, days: int) -> Iterator[pa.RecordBatch]:
     size, lines = (np.fromiter(map(f, texts), np.int64, len(texts)) for f in (len, lambda t: t.count("\n")))
 
     cuts: list[tuple[np.ndarray, ...]] = []
-    versions = 0
     for part in _steps(size):
         row, version, digest, length = all_cuts(texts[part.start : part.stop])
-        cuts.append((row + part.start, version + versions, digest, length))
-        versions += 2 * len(part)
-    row, digest = rarest(*(np.concatenate(x) for x in zip(*cuts)))
+        cuts.append((row + part.start, version, digest, length))
+    row, digest = rarest(cuts)
+    del cuts
     bits, n = trigram_bits(texts)
     bits = np.asfortranarray(bits)  # by word
     for a, b in _meetings(mix(digest ^ mix(cell.view(_U))[row]), row, side):
